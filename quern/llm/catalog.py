@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from quern.llm import exact_dedup, fingerprints, mixing, packing, pii, quality, token_files, url_filters
+from quern.llm import exact_dedup, fingerprints, language_model, mixing, packing, pii, quality, token_files, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_packing": packing.op7_packing,
+    "op8_language_model": language_model.op8_language_model,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
