@@ -10,18 +10,20 @@ import abc
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.hashing import OFFSET, PRIME, fnv1a_bytes
+
 DIMENSION, MODEL = 128, "model-v1"
 WORD_WEIGHT, GRAM_WEIGHT = 2.0, 0.25
 #: Words of one line stand for one another; those after the bar are only ever the other.
 _KIN = ("constructor move ownership transfer", "acquisition initialization raii resource", "concurrent exclusion mutex mutual", "polymorphism virtual | function")
 _ENDINGS = ("ing", "es", "s", "ed")
 _TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
-_PRIME, _OFFSET = np.uint64(1099511628211), 14695981039346656037
 
 
 def related() -> dict[str, list[str]]:
@@ -42,13 +44,6 @@ def stem(word: str) -> str:
     return next((word[: -len(e)] for e in _ENDINGS if word.endswith(e) and len(word) > len(e)), word)
 
 
-def fnv1a_bytes(data: bytes) -> int:
-    h = _OFFSET
-    for b in data:
-        h = ((h ^ b) * int(_PRIME)) % (1 << 64)
-    return h
-
-
 class EmbeddingProvider(abc.ABC):
     """A model: its name, its dimension, and vectors for a batch of texts."""
 
@@ -100,11 +95,11 @@ class HashingProvider(EmbeddingProvider):
                     continue
                 good = doc[: len(doc) - k + 1] == doc[k - 1 :]
                 a, b, of = starts[: len(starts) - k + 1][good], ends[k - 1 :][good], doc[: len(doc) - k + 1][good]
-                h = np.full(len(a), _OFFSET, np.uint64)
+                h = np.full(len(a), OFFSET, np.uint64)
                 for j in range(int((b - a).max()) if len(a) else 0):
                     inside = a + j < b
                     byte = data[np.where(inside, a + j, 0)].astype(np.uint64)
-                    h = np.where(inside, (h ^ byte) * _PRIME, h)
+                    h = np.where(inside, (h ^ byte) * np.uint64(PRIME), h)
                 sign = np.where(h >> np.uint64(63) == 1, GRAM_WEIGHT, -GRAM_WEIGHT)
                 out += np.bincount(of * dim + (h % np.uint64(dim)).astype(np.int64), sign, minlength=n * dim)
         out = out.reshape(n, dim)
@@ -140,8 +135,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def similarity_to(text: Column, query: str, provider: EmbeddingProvider | None = None) -> Column:
     """Cosine of a text column with a constant, which is embedded once, here."""
-    import pandas as pd
-
     provider = provider or HashingProvider()
     q = provider.embed([query])[0]
 
@@ -157,8 +150,6 @@ def register_sql(spark: SparkSession, provider: EmbeddingProvider | None = None)
 
     The constant is embedded once a worker.
     """
-    import pandas as pd
-
     provider = provider or HashingProvider()
     seen: dict[str, np.ndarray] = {}
 
