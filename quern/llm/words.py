@@ -57,6 +57,8 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.nd
     offs = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
+    # a worker serves many tasks: what the last batch left goes back to the system
+    pa.default_memory_pool().release_unused()
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
         yield at, to, raw[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
