@@ -117,8 +117,9 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
     prints = written(fingerprints(documents), "exact-prints")
     by = ["fp", "n_bytes"]
     groups = _groups(prints, by)
-    shared = prints.join(groups.where("group_size > 1"), by, "left_semi").select("doc_id", *by).distinct()
-    odd = written(_unequal(documents, written(shared, "exact-shared")), "exact-odd")
+    shared = written(prints.join(groups.where("group_size > 1"), by, "left_semi").select("doc_id", *by), "exact-shared")
+    # repeated rows go after the table is cut off, so that it is dealt by doc_id as well and not by the hot group
+    odd = written(_unequal(documents, shared.distinct()), "exact-odd")
     if not odd.isEmpty():
         # where a fingerprint has met different texts, their digests tell them apart
         part = F.when(F.col("odd"), F.col("text_sha256")).otherwise("")
