@@ -15,6 +15,8 @@ import struct
 import numpy as np
 import regex
 
+from quern.llm import words as arrow_words
+
 NAME = "word_bpe_49k.json"
 _ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u1680\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 _PLAIN = re.compile(r"[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+")
@@ -38,7 +40,7 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Ids as little-endian unsigned 16-bit integers (the vocabulary has under 65,536)."""
 
-    def __init__(self, path: str, words: int = 500_000, pieces: int = 600_000):
+    def __init__(self, path: str, words: int = 200_000, pieces: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -102,6 +104,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process, kept between tasks."""
+    arrow_words.give_back()
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

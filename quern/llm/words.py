@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def give_back() -> None:
+    """Return to the system what earlier batches and tasks of this worker have freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, row after the last, bytes and offsets (len + 1) of slices of a text column; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -58,7 +67,7 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.nd
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     # a worker serves many tasks: what the last batch left goes back to the system
-    pa.default_memory_pool().release_unused()
+    give_back()
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
         yield at, to, raw[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
