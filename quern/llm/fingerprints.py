@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,9 @@ from xxhash import xxh3_128_hexdigest
 
 from quern.plans.shared import written
 
+#: Fingerprints that a join looks up by a broadcast table; beyond it, by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 
 def canonical(text: str) -> str:
     """Compatibility normal form, case folded, white space folded."""
@@ -88,6 +91,11 @@ def with_next(documents: DataFrame) -> DataFrame:
     The rows are dealt by ranges of doc_id; each range also gets the first row of the
     range below it, so the text moves once and each task reads its rows in order.
     """
+    return _with_next(documents).drop("part")
+
+
+def _with_next(documents: DataFrame, digest: Callable[[bytes], str] = xxh3_128_hexdigest, clashing: Collection[str] = ()) -> DataFrame:
+    """``with_next`` and ``part``: the canonical form where the fingerprint is in ``clashing``, else empty."""
     spark, id_type = documents.sparkSession, documents.schema["doc_id"].dataType.simpleString()
     d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -112,14 +120,15 @@ def with_next(documents: DataFrame) -> DataFrame:
     d = d.select("doc_id", "text", F.explode(rows).alias("x")).select("doc_id", "text", "x.at", "x.lent")
     d = d.repartitionById(max(1, len(bounds) + 1), F.col("at")).withColumn("h", F.xxhash64("text"))
     d = d.sortWithinPartitions("at", "lent", F.col("doc_id").desc_nulls_last(), "h", "text")
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part"]
+    clashing = frozenset(clashing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the id, text and fingerprint of the row before, and its range
+        held = None  # the id, text, fingerprint and part of the row before, and its range
         lent_to = None
 
         def result(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
             columns = list(zip(*rows, strict=True))
             return pa.record_batch([pa.array(columns[0], batch_type), *[pa.array(c, k) for c, k in zip(columns[1:], kinds[1:], strict=True)]], names)
 
@@ -129,22 +138,65 @@ def with_next(documents: DataFrame) -> DataFrame:
                 if lent and (lent_to == at or held is None):
                     continue  # only the first row of the range below is next to this one
                 text = t.as_py()
-                mine = fingerprint(text)
-                if held is not None and held[3] == at:
-                    doc_id, body, fp, _ = held
+                form = canonical(text)
+                mine = digest(form.encode())
+                if held is not None and held[4] == at:
+                    doc_id, body, fp, part, _ = held
                     k = len(body) // 3
                     edited = body[: len(body) - k] + text[:k]
-                    edited_fp = fingerprint(edited)
-                    out.append((doc_id, len(body), hashlib.sha256(edited.encode()).hexdigest(), fp, edited_fp, likeness(fp, edited_fp), likeness(fp, mine)))
+                    edited_fp = digest(canonical(edited).encode())
+                    out.append((doc_id, len(body), hashlib.sha256(edited.encode()).hexdigest(), fp, edited_fp, likeness(fp, edited_fp), likeness(fp, mine), part))
                 if lent:
                     held, lent_to = None, at
                 else:
-                    held = i, text, mine, at
+                    held = i, text, mine, form if mine in clashing else "", at
             if out:
                 yield result(out)
 
-    return d.select("doc_id", "text", "at", "lent").mapInArrow(run, f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return d.select("doc_id", "text", "at", "lent").mapInArrow(run, f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part string")
+
+
+def _bounded(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _clashes(documents: DataFrame, twice: DataFrame, digest: Callable[[bytes], str]) -> list[str]:
+    """The fingerprints of ``twice(fingerprint)`` that texts of different canonical bytes share.
+
+    Only texts with such a fingerprint leave a task, and copies are put together before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [canonical(t.as_py() or "") for t in b.column("text")]
+            yield pa.record_batch([pa.array([digest(t.encode()) for t in texts], pa.string()), pa.array(texts, pa.string())], ["fingerprint", "form"])
+
+    forms = documents.select("text").mapInArrow(run, "fingerprint string, form string").join(_bounded(twice), "fingerprint", "left_semi")
+    forms = forms.groupBy("fingerprint", "form").agg(F.lit(1).alias("one"))
+    return [r["fingerprint"] for r in forms.groupBy("fingerprint").count().where("count > 1").select("fingerprint").collect()]
+
+
+def with_groups(documents: DataFrame, digest: Callable[[bytes], str] = xxh3_128_hexdigest) -> DataFrame:
+    """The columns of ``with_next``, and ``keep_id, group_size`` of each row's group of equal canonical forms.
+
+    Groups are those of ``canonical_groups``: fingerprints that occur twice or more are
+    buckets, inside which the canonical bytes are compared. A bucket with different
+    texts is told apart by the bytes themselves. A row by itself keeps its own id and
+    has a group of one. Odd rows are as in both.
+    """
+    rows = written(_with_next(documents, digest), "canonical-rows")
+    twice = written(rows.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "canonical-twice")
+    clashing = _clashes(documents, twice, digest)
+    if clashing:
+        rows = written(_with_next(documents, digest, clashing), "canonical-rows")
+    by = ["fingerprint", "part"]
+    least = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")
+    groups = rows.groupBy(by).agg(F.min(least)["doc_id"].alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups.where("group_size > 1"), "canonical-groups")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id")
+    columns = [c for c in rows.columns if c != "part"]
+    return rows.join(_bounded(groups), by, "left").select(*columns, keep, F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return with_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

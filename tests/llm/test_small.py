@@ -98,6 +98,25 @@ def test_canonical_groups_tell_colliding_texts_apart(spark, odd):
     assert got == [(0, 1), (1, 3), (2, 3), (3, 3), (3, 3), (4, 3), (5, 3)]
 
 
+def test_fingerprints_come_with_groups(spark):
+    rows = fingerprints.op6_fingerprints(spark, SF).collect()
+    groups = {}
+    for i, t in duckdb.sql(f"select doc_id, coalesce(text, '') from '{SF}/documents.parquet'").fetchall():
+        groups.setdefault(fingerprints.canonical(t), []).append(i)
+    want = {i: (min(g), len(g)) for g in groups.values() for i in g}
+    assert max(n for _, n in want.values()) > 1
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in rows} == want
+
+
+def test_groups_beside_the_next(spark, odd, monkeypatch):
+    for digest in (fingerprints.xxh3_128_hexdigest, lambda b: "same"):
+        for most in (1_000_000, 0):
+            monkeypatch.setattr(fingerprints, "BROADCAST_ROWS", most)
+            got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in fingerprints.with_groups(odd, digest).collect())
+            assert got == sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in fingerprints.canonical_groups(odd, digest).collect())
+    assert fingerprints.with_groups(odd.limit(0)).collect() == []
+
+
 def test_polynomials_combine():
     data = bytes(range(256)) * 200
     for cut in (0, 1, 16_384, 20_000):
