@@ -2,9 +2,12 @@
 
 Words are put into leaves: the commonest have a leaf each, the others share one by their
 last letters. A leaf's chance, given hashed n-gram and skip features of the words before
-it, is a softmax over classes times a softmax over the leaves of the class; within a leaf
-words are as likely as they are in the counts. So the score of a text is its unigram
-score plus, for each token, the gain of the leaf's chance over its share.
+it, is a softmax over classes times a softmax over the leaves of the class. Within a shared leaf
+words lie in a binary tree by the bits of their hash; each turn's chance is that of the
+counts, moved by hashed weights for the word before, the two before and the one before
+that. Tree and weights grow with the vocabulary, up to ``DEPTH`` and ``WEIGHTS``; words
+that end in one place are as likely as they are in the counts. So the score of a text is
+its unigram score plus, for each token, the gain of its place's chance over its share.
 
 Counting, training and scoring each read all documents in sparse numpy batches. Workers
 take gradient steps on their own documents and their parameters are averaged, block by
@@ -33,6 +36,8 @@ TOP, END_LEAF, FIRST_SHARED, BEFORE = 96, 96, 97, LEAVES - 1
 SHARED = BEFORE - FIRST_SHARED
 PAIRS, NAMES = 2048, 1279
 BUCKETS = 1 + 3 * LEAVES + PAIRS + NAMES
+#: The trees' greatest depth, the greatest power of two of their weights, and their rate.
+DEPTH, WEIGHTS, TURN_RATE = 12, 22, 0.3
 ROUNDS, BATCH, RATE = 2, 8192, 0.15
 BLOCKS = 64
 END = np.uint64(0x5851F42D4C957F2D)
@@ -61,9 +66,28 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, shared, of, counts
 
 
+def _back(x: np.ndarray, place: np.ndarray, k: int, none: int) -> np.ndarray:
+    """What stood ``k`` tokens before each, within its text."""
+    out = np.full(len(x), none, x.dtype)
+    out[k:] = x[:-k] if k < len(x) else x[:0]
+    out[place < k] = none
+    return out
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _contexts(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashes of the word before, of the two before, and of the one before the last."""
+    place = _places(counts)
+    one, two = _back(h, place, 1, 0), _back(h, place, 2, 0)
+    return np.stack([words.mix(one + np.uint64(1)), words.mix(one * np.uint64(3) + words.mix(two)), words.mix(two + np.uint64(2))])
+
+
 @dataclasses.dataclass
 class Model:
-    """What the driver holds: totals, leaf shares and weights of a fixed size, and at most ``HOT`` counts."""
+    """What the driver holds: totals, shares and weights of a bounded size, and at most ``HOT`` counts."""
 
     n: int
     v: int
@@ -74,6 +98,8 @@ class Model:
     share: np.ndarray  # log of each leaf's share of the unigram chances
     outer: np.ndarray = None  # BUCKETS x CLASSES
     inner: np.ndarray = None  # BUCKETS * CLASSES x IN_CLASS
+    prior: np.ndarray = None  # SHARED x 2^depth: the counts' log odds of one over zero at each node of a leaf's tree
+    turns: np.ndarray = None  # the trees' hashed weights
 
     def leaves(self, h: np.ndarray, shared: np.ndarray) -> np.ndarray:
         if not len(self.top):
@@ -83,17 +109,10 @@ class Model:
 
     def features(self, h: np.ndarray, leaf: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The hashed features of each token: a bias, the leaves one, two and three back, a pair, and the word before."""
-        place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-
-        def back(x: np.ndarray, k: int, none: int) -> np.ndarray:
-            out = np.full(len(x), none, x.dtype)
-            out[k:] = x[:-k] if k < len(x) else x[:0]
-            out[place < k] = none
-            return out
-
-        one, two, three = (back(leaf, k, BEFORE) for k in (1, 2, 3))
+        place = _places(counts)
+        one, two, three = (_back(leaf, place, k, BEFORE) for k in (1, 2, 3))
         pair = (words.mix((one * LEAVES + two + 1).astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
-        name = (back(h, 1, 0) % np.uint64(NAMES)).astype(np.int64)
+        name = (_back(h, place, 1, 0) % np.uint64(NAMES)).astype(np.int64)
         at = 1 + 3 * LEAVES
         return np.stack([np.zeros(len(h), np.int64), 1 + one, 1 + LEAVES + two, 1 + 2 * LEAVES + three, at + pair, at + PAIRS + name])
 
@@ -106,6 +125,21 @@ class Model:
         self.inner = np.zeros((BUCKETS, CLASSES, IN_CLASS), "f4")
         self.inner[0] = share - top[:, None]
         self.inner = self.inner.reshape(-1, IN_CLASS)
+        # eight weights a word counted
+        self.turns = np.zeros(1 << min(max(int(8 * self.v).bit_length(), 12), WEIGHTS), "f4")
+
+    def walk(self, h: np.ndarray, leaf: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Which tokens have a tree, and theirs by level: log odds of the counts, weights' indices by context, and turns (one or zero)."""
+        at = np.flatnonzero((leaf >= FIRST_SHARED) & (leaf < BEFORE)) if self.prior is not None else np.zeros(0, np.int64)
+        depth = self.prior.shape[1].bit_length() - 1 if self.prior is not None else 0
+        end, tree, level = _ends(h[at], depth)[:, None], (leaf[at] - FIRST_SHARED)[:, None], np.arange(depth)
+        node = (1 << level) + (end >> (depth - level))
+        # the weights of four levels below a node lie in one row
+        key = ((tree << depth) + node[:, ::4]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        row = (((contexts[:, at, None] ^ key) * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(69 - len(self.turns).bit_length())).astype(np.int64) << 4
+        below = 1 << level % 4
+        index = row[:, :, level // 4] + (below + (node & (below - 1)))
+        return at, self.prior[tree, node] if depth else np.zeros((len(at), 0), "f4"), index, (end >> (depth - 1 - level)) & 1 if depth else end[:, :0]
 
     def chances(self, f: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, ...]:
         """Both softmaxes' chances for the tokens with features ``f``."""
@@ -124,18 +158,23 @@ class Model:
     def gains(self, h: np.ndarray, shared: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Per token the log10 of its leaf's chance over the leaf's share."""
         leaf = self.leaves(h, shared)
-        f, out = self.features(h, leaf, counts), np.empty(len(h))
+        f, out, contexts = self.features(h, leaf, counts), np.empty(len(h)), _contexts(h, counts)
         for a in range(0, len(h), BATCH):
             b = slice(a, a + BATCH)
             p, q, c = self.chances(f[:, b], leaf[b])
             i = np.arange(len(c))
             out[b] = np.log10(p[i, c]) + np.log10(q[i, leaf[b] % IN_CLASS])
+            at, prior, index, turn = self.walk(h[b], leaf[b], contexts[:, b])
+            if prior.size:
+                sign = (1 - 2 * turn).astype("f4")
+                moved = prior + self.turns[index].sum(axis=0)
+                out[a + at] += np.log10((1 + np.exp(sign * prior)) / (1 + np.exp(sign * moved))).sum(axis=1)
         return out - self.share[leaf] / np.log(10)
 
-    def train(self, h: np.ndarray, shared: np.ndarray, counts: np.ndarray, sums: tuple[np.ndarray, np.ndarray], batch: int = BATCH) -> None:
+    def train(self, h: np.ndarray, shared: np.ndarray, counts: np.ndarray, sums: tuple[np.ndarray, ...], batch: int = BATCH) -> None:
         """Gradient steps over the tokens, a batch at a time, each bucket at its own rate."""
         leaf = self.leaves(h, shared)
-        f = self.features(h, leaf, counts)
+        f, contexts = self.features(h, leaf, counts), _contexts(h, counts)
         for a in range(0, len(h), batch):
             b = slice(a, a + batch)
             p, q, c = self.chances(f[:, b], leaf[b])
@@ -144,12 +183,33 @@ class Model:
             p[i, c] += 1
             q[i, leaf[b] % IN_CLASS] += 1
             for w, s, g, index in ((self.outer, sums[0], p, f[:, b]), (self.inner, sums[1], q, f[:, b] * CLASSES + c)):
-                flat = index.ravel()
+                flat = index.ravel().astype("u2")  # sorted by radix
                 order = np.argsort(flat, kind="stable")
-                rows, begin = np.unique(flat[order], return_index=True)
+                sorted_ = flat[order]
+                begin = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+                rows = sorted_[begin]
                 total = np.add.reduceat(g[order % len(c)], begin, axis=0)
                 s[rows] += total * total
                 w[rows] += RATE * total / np.sqrt(s[rows] + 1.0)
+            at, prior, index, turn = self.walk(h[b], leaf[b], contexts[:, b])
+            if prior.size:
+                g = (turn - 1 / (1 + np.exp(-(prior + self.turns[index].sum(axis=0))))).astype("f4").ravel()
+                total = sums[3]
+                for k in index:
+                    np.add.at(total, k.ravel(), g)
+                total, s, w = (x.reshape(-1, 16) for x in (total, sums[2], self.turns))
+                touched = np.zeros(len(w), bool)
+                touched[index[:, :, ::4].ravel() >> 4] = True
+                rows = np.flatnonzero(touched)
+                t = total[rows]
+                s[rows] = sum_ = s[rows] + t * t
+                w[rows] += np.float32(TURN_RATE) * t / np.sqrt(sum_ + 1)
+                total[rows] = 0
+
+
+def _ends(h: np.ndarray, depth: int) -> np.ndarray:
+    """Where words end in a tree: the first bits of their hash."""
+    return (h >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(h), np.int64)
 
 
 def _training() -> Column:
@@ -199,17 +259,38 @@ def _counted(counts: DataFrame, hot: int) -> Model:
     mass[: len(pick)] += c[pick] + 0.5
     mass[BEFORE] = 1e-9
     order, by = np.argsort(h), np.argsort(h[pick])
-    return Model(int(n), int(v), h[order], c[order], h[pick][by], by.astype(np.int64), np.log(np.maximum(mass, 1e-9) / mass.sum()))
+    model = Model(int(n), int(v), h[order], c[order], h[pick][by], by.astype(np.int64), np.log(np.maximum(mass, 1e-9) / mass.sum()))
+    model.prior = _prior(counts, int(v), h[pick], leaf[pick], c[pick])
+    return model
 
 
-def _blocks(model: Model) -> Iterator[np.ndarray]:
-    flat = np.concatenate([model.outer.ravel(), model.inner.ravel()])
+def _prior(counts: DataFrame, v: int, top: np.ndarray, leaf: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The log odds at each node of the leaves' trees by ``counts``, without the ``top`` words; deeper the more words there are."""
+    depth = min(max(v.bit_length() - 4, 4), DEPTH)
+    mass = np.full((SHARED, 1 << depth), 0.5 / BEFORE / (1 << depth))
+    shared = counts.where((F.col("leaf") >= FIRST_SHARED) & (F.col("leaf") < BEFORE))
+    ends = shared.groupBy("leaf", F.shiftrightunsigned("h", 64 - depth).cast("int").alias("end")).agg(F.sum(F.col("c") + 0.5).alias("m")).toPandas()
+    mass[ends["leaf"].to_numpy(np.int64) - FIRST_SHARED, ends["end"].to_numpy(np.int64)] += ends["m"].to_numpy(float)
+    np.subtract.at(mass, (leaf - FIRST_SHARED, _ends(top, depth)), c + 0.5)
+    mass, out = np.maximum(mass, 1e-9), np.zeros((SHARED, 1 << depth), "f4")
+    for level in range(depth - 1, -1, -1):
+        zero, one = mass[:, 0::2], mass[:, 1::2]
+        out[:, 1 << level : 2 << level] = np.log(one / zero)
+        mass = zero + one
+    return out
+
+
+def _blocks(model: Model, sums: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
+    """All weights in blocks; those of the trees that no step has moved as NaN."""
+    flat = np.concatenate([model.outer.ravel(), model.inner.ravel(), np.where(sums[2] > 0, model.turns, np.float32(np.nan))])
     yield from np.array_split(flat, BLOCKS)
 
 
 def _from_blocks(model: Model, blocks: list[np.ndarray]) -> None:
     flat = np.concatenate(blocks).astype("f4")
-    model.outer, model.inner = flat[: BUCKETS * CLASSES].reshape(BUCKETS, CLASSES), flat[BUCKETS * CLASSES :].reshape(-1, IN_CLASS)
+    outer, inner, turns = np.split(flat, np.cumsum([model.outer.size, model.inner.size]))
+    model.outer, model.inner = outer.reshape(BUCKETS, CLASSES), inner.reshape(-1, IN_CLASS)
+    model.turns = np.where(np.isnan(turns), model.turns, turns)
 
 
 def fit(documents: DataFrame, counts: DataFrame, rounds: int = ROUNDS, hot: int = HOT, batch: int = BATCH) -> Model:
@@ -217,7 +298,8 @@ def fit(documents: DataFrame, counts: DataFrame, rounds: int = ROUNDS, hot: int
 
     As many workers as the session has cores train on their documents from the same
     weights; each sends its weights in blocks, and a block's mean, weighted by tokens,
-    is taken by a task of its own. The driver gets the means: a fixed 4.5 MB a round.
+    is taken by a task of its own, of a tree's weight over the workers that moved it. The
+    driver gets the means: 4.5 MB a round and the trees' weights, at most 17 MB.
     """
     spark = documents.sparkSession
     model = _counted(counts, hot)
@@ -226,21 +308,25 @@ def fit(documents: DataFrame, counts: DataFrame, rounds: int = ROUNDS, hot: int
         known = spark.sparkContext.broadcast(dataclasses.replace(model, hot=model.hot[:0], hot_counts=model.hot_counts[:0]))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            m = dataclasses.replace(known.value, outer=known.value.outer.copy(), inner=known.value.inner.copy())
-            sums, n = (np.zeros_like(m.outer), np.zeros_like(m.inner)), 0
+            m = dataclasses.replace(known.value, outer=known.value.outer.copy(), inner=known.value.inner.copy(), turns=known.value.turns.copy())
+            sums, n = tuple(np.zeros_like(x) for x in (m.outer, m.inner, m.turns, m.turns)), 0
             for b in batches:
                 for _, _, data, offs in words.slices(b.column("text")):
                     h, shared, _, sizes = _tokens(data, offs)
                     m.train(h, shared, sizes, sums, batch)
                     n += len(h)
             if n:
-                for i, x in enumerate(_blocks(m)):
+                for i, x in enumerate(_blocks(m, sums)):
                     yield pa.record_batch([pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([x.astype("<f4").tobytes()])], ["block", "n", "weights"])
 
         def mean(t: pa.Table) -> pa.Table:
             n = t.column("n").to_numpy().astype(float)
-            total = sum(w * np.frombuffer(x.as_buffer(), "<f4").astype(float) for w, x in zip(n, t.column("weights"), strict=True))
-            return pa.table({"block": t.column("block").slice(0, 1), "weights": pa.array([(total / n.sum()).astype("<f4").tobytes()])})
+            total = of = 0.0
+            for w, x in zip(n, t.column("weights"), strict=True):
+                x = np.frombuffer(x.as_buffer(), "<f4").astype(float)
+                total, of = total + w * np.nan_to_num(x), of + w * ~np.isnan(x)
+            got = np.where(of > 0, total / np.maximum(of, 1), np.nan)
+            return pa.table({"block": t.column("block").slice(0, 1), "weights": pa.array([got.astype("<f4").tobytes()])})
 
         mine = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text").coalesce(max(1, spark.sparkContext.defaultParallelism))
         sent = mine.mapInArrow(run, "block int, n bigint, weights binary")

@@ -52,6 +52,29 @@ def test_chances_sum_to_one():
     assert (p[np.arange(lm.LEAVES), c] * q[np.arange(lm.LEAVES), np.arange(lm.LEAVES) % lm.IN_CLASS]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_context_tells_words_of_a_leaf_apart(spark):
+    # 100 commoner words take the leaves of their own
+    common = " ".join(f"w{j}" for j in range(100))
+    lines = ["red xaqqq", "blue yaqqq"] * 100 + [common] * 150
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").coalesce(2)
+    counts = lm.count_words(docs)
+    texts = ["red xaqqq", "red yaqqq", "blue yaqqq", "blue xaqqq"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {texts[r.doc_id]: r.score for r in lm.score_documents(asked, lm.fit(docs, counts, batch=64), counts).collect()}
+    assert got["red xaqqq"] > got["red yaqqq"] + 0.1 and got["blue yaqqq"] > got["blue xaqqq"] + 0.1
+
+
+def test_chances_in_a_tree_sum_to_one():
+    m = lm.Model(10, 3, *[np.zeros(0)] * 4, np.log(np.full(lm.LEAVES, 1 / lm.LEAVES)))
+    m.start()
+    rng = np.random.default_rng(2)
+    m.prior, m.turns = rng.normal(size=(lm.SHARED, 16)).astype("f4"), rng.normal(size=m.turns.shape).astype("f4")
+    h, leaf = np.arange(16, dtype=np.uint64) << np.uint64(60), np.full(16, lm.FIRST_SHARED + 5)
+    at, prior, index, turn = m.walk(h, leaf, rng.integers(0, 2**63, (3, 1)).astype(np.uint64).repeat(16, 1))
+    one = 1 / (1 + np.exp(-(prior + m.turns[index].sum(axis=0))))
+    assert len(at) == 16 and np.where(turn == 1, one, 1 - one).prod(axis=1).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_word_places_and_hashes():
     import pyarrow as pa
 
