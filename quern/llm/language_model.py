@@ -1,18 +1,20 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-Words are put into leaves: the commonest have a leaf each, the others share one by their
-last letters. A leaf's chance, given hashed n-gram and skip features of the words before
-it, is a softmax over classes times a softmax over the leaves of the class. Within a shared leaf
-words lie in a binary tree by the bits of their hash; each turn's chance is that of the
-counts, moved by hashed weights for the word before, the two before and the one before
-that. Tree and weights grow with the vocabulary, up to ``DEPTH`` and ``WEIGHTS``; words
-that end in one place are as likely as they are in the counts. So the score of a text is
-its unigram score plus, for each token, the gain of its place's chance over its share.
-
-Counting, training and scoring each read all documents in sparse numpy batches. Workers
-take gradient steps on their own documents and their parameters are averaged, block by
-block, between rounds. Counts stay in a written table: a bounded number of the commonest
-words is broadcast, all others are joined.
+Every word has a place in a tree of classes, sixteen to a node. The commonest words have
+places of their own, the commoner the nearer the root; all others share places by their
+hash. A word's chance is the product of a softmax at each node on its way, times its
+share of its place by the counts. A softmax starts from the counts and is moved by hashed
+weights for n-grams and skips: the word before, the two before, the one before the last,
+and the classes of the two before, each together with the node. So words of one class are
+told apart by context, down to their place. The score of a text is its unigram score
+plus, for each node on each token's way, the gain of the model's chance over the counts'.
+
+Counting, training and scoring each read all documents in sparse numpy batches. Training
+tasks, of a bounded number of tokens each, take gradient steps on their own documents,
+and what they moved is merged, block by block and a few tasks at a time, between rounds.
+Counts stay in a written table: a bounded number of the commonest words is broadcast, all
+others are joined. Words are told apart by 64-bit hashes throughout, so counts are exact
+but for collisions of those.
 """
 
 from __future__ import annotations
@@ -30,186 +32,137 @@ from quern.plans.shared import written
 
 #: The commonest words, at most so many, whose counts are broadcast.
 HOT = 1 << 19
-CLASSES, IN_CLASS = 16, 16
-LEAVES = CLASSES * IN_CLASS
-TOP, END_LEAF, FIRST_SHARED, BEFORE = 96, 96, 97, LEAVES - 1
-SHARED = BEFORE - FIRST_SHARED
-PAIRS, NAMES = 2048, 1279
-BUCKETS = 1 + 3 * LEAVES + PAIRS + NAMES
-#: The trees' greatest depth, the greatest power of two of their weights, and their rate.
-DEPTH, WEIGHTS, TURN_RATE = 12, 22, 0.3
-ROUNDS, BATCH, RATE = 2, 8192, 0.15
-BLOCKS = 64
+#: Branches of a node. By the first branch: how many branches lead to a place.
+WIDTH, LEVELS = 16, 5
+DEPTH = np.array([2] * 8 + [3] * 4 + [4] * 3 + [5], np.int64)
+#: Places of their own by depth (the end has the first of all), the first code of each
+#: depth, and places that are shared. A code has four bits a branch, to the left.
+OWN, FIRST, SHARED = (8 * 16, 4 * 256, 3 * 4096), (0x00000, 0x80000, 0xC0000, 0xF0000), 1 << 16
+#: Nodes of each level come after those of the levels above.
+ABOVE = np.array([0, 1, 17, 273, 4369], np.int64)
+NODES = 69_905
+CONTEXTS = 4
+#: Rows of hashed weights grow with the vocabulary, from and to these powers of two.
+LEAST_ROWS, MOST_ROWS = 12, 18
+ROUNDS, BATCH, RATE, TASK_TOKENS = 2, 8192, 0.3, 4_000_000
+#: Blocks of weights, and tasks whose weights one step of the merge puts together.
+BLOCKS, FAN = 64, 16
+#: Squared gradients up to which what several tasks learned of a row adds up; beyond, it is averaged.
+SURE = 8.0
 END = np.uint64(0x5851F42D4C957F2D)
 _END_LONG = int(END.astype(np.int64))
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".,!?;:"]] = True
+_GOLD, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC4CEB9FE1A85EC53)
+_ONES = np.ones(WIDTH, "f4")
 
 
-def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, shared leaf and text of every token in order, an end after each text, and each text's number of tokens."""
+def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and text of every token in order, an end after each text, and each text's number of tokens."""
     n = len(offs) - 1
     starts, ends, doc = words.words(data, offs)
     counts = np.bincount(doc, minlength=n) + 1
-    h, shared, of = np.empty(len(starts) + n, np.uint64), np.full(len(starts) + n, END_LEAF, np.int64), np.repeat(np.arange(n), counts)
+    h = np.empty(len(starts) + n, np.uint64)
     h[np.cumsum(counts) - 1] = END
     if len(starts):
-        at = np.arange(len(starts)) + doc
-        h[at] = words.hashes(data, starts, ends)
-        low = words._UPPER[data].astype(np.int64)
-        stop = _STOP[data[ends - 1]] & (ends - starts > 1)
-        e = ends - stop
-        code = low[e - 1]
-        for k in (2, 3):
-            code = code * 257 + np.where(e - starts >= k, low[np.maximum(e - k, 0)] + 1, 0)
-        shared[at] = FIRST_SHARED + (words.mix((code * 2 + stop).astype(np.uint64)) % np.uint64(SHARED)).astype(np.int64)
-    return h, shared, of, counts
-
-
-def _back(x: np.ndarray, place: np.ndarray, k: int, none: int) -> np.ndarray:
-    """What stood ``k`` tokens before each, within its text."""
-    out = np.full(len(x), none, x.dtype)
-    out[k:] = x[:-k] if k < len(x) else x[:0]
-    out[place < k] = none
-    return out
+        h[np.arange(len(starts)) + doc] = words.hashes(data, starts, ends)
+    return h, np.repeat(np.arange(n), counts), counts
 
 
-def _places(counts: np.ndarray) -> np.ndarray:
-    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+def _back(x: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """What stood ``k`` tokens before each, within its text; 0 before its start."""
+    out = np.zeros(len(x), x.dtype)
+    out[k:] = x[:-k] if k < len(x) else x[:0]
+    out[place < k] = 0
+    return out
 
 
-def _contexts(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Hashes of the word before, of the two before, and of the one before the last."""
-    place = _places(counts)
-    one, two = _back(h, place, 1, 0), _back(h, place, 2, 0)
-    return np.stack([words.mix(one + np.uint64(1)), words.mix(one * np.uint64(3) + words.mix(two)), words.mix(two + np.uint64(2))])
+def contexts(h: np.ndarray, code: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each token's hashed contexts: the word before, the two before, the one before the last, and the classes of the two before."""
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    one, two = _back(h, place, 1), _back(h, place, 2)
+    near = (code >> 12).astype(np.uint64) + np.uint64(1)
+    near, far = _back(near, place, 1), _back(near, place, 2)
+    out = np.stack([one + np.uint64(1), one * np.uint64(3) + words.mix(two), two * np.uint64(5) + np.uint64(2), (near << np.uint64(9)) + far + np.uint64(3)])
+    return words.mix(out)
 
 
 @dataclasses.dataclass
 class Model:
-    """What the driver holds: totals, shares and weights of a bounded size, and at most ``HOT`` counts."""
+    """What the driver holds: totals, weights of a bounded size, and at most ``HOT`` counts."""
 
     n: int
     v: int
     hot: np.ndarray  # hashes, sorted
     hot_counts: np.ndarray
-    top: np.ndarray  # hashes of the words with a leaf each, sorted
-    top_leaf: np.ndarray
-    share: np.ndarray  # log of each leaf's share of the unigram chances
-    outer: np.ndarray = None  # BUCKETS x CLASSES
-    inner: np.ndarray = None  # BUCKETS * CLASSES x IN_CLASS
-    prior: np.ndarray = None  # SHARED x 2^depth: the counts' log odds of one over zero at each node of a leaf's tree
-    turns: np.ndarray = None  # the trees' hashed weights
-
-    def leaves(self, h: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        if not len(self.top):
-            return shared
-        at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
-        return np.where(self.top[at] == h, self.top_leaf[at], shared)
-
-    def features(self, h: np.ndarray, leaf: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The hashed features of each token: a bias, the leaves one, two and three back, a pair, and the word before."""
-        place = _places(counts)
-        one, two, three = (_back(leaf, place, k, BEFORE) for k in (1, 2, 3))
-        pair = (words.mix((one * LEAVES + two + 1).astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
-        name = (_back(h, place, 1, 0) % np.uint64(NAMES)).astype(np.int64)
-        at = 1 + 3 * LEAVES
-        return np.stack([np.zeros(len(h), np.int64), 1 + one, 1 + LEAVES + two, 1 + 2 * LEAVES + three, at + pair, at + PAIRS + name])
+    own: np.ndarray  # hashes of the words with a place of their own, sorted
+    own_code: np.ndarray
+    prior: np.ndarray  # NODES x WIDTH: log share of each branch by the counts
+    weights: np.ndarray = None  # rows x WIDTH
+    seen: np.ndarray = None  # a row's squared gradients so far
 
     def start(self) -> None:
-        """Weights that give each leaf its share, whatever came before."""
-        share = self.share.reshape(CLASSES, IN_CLASS)
-        top = np.logaddexp.reduce(share, axis=1)
-        self.outer = np.zeros((BUCKETS, CLASSES), "f4")
-        self.outer[0] = top
-        self.inner = np.zeros((BUCKETS, CLASSES, IN_CLASS), "f4")
-        self.inner[0] = share - top[:, None]
-        self.inner = self.inner.reshape(-1, IN_CLASS)
-        # eight weights a word counted
-        self.turns = np.zeros(1 << min(max(int(8 * self.v).bit_length(), 12), WEIGHTS), "f4")
-
-    def walk(self, h: np.ndarray, leaf: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Which tokens have a tree, and theirs by level: log odds of the counts, weights' indices by context, and turns (one or zero)."""
-        at = np.flatnonzero((leaf >= FIRST_SHARED) & (leaf < BEFORE)) if self.prior is not None else np.zeros(0, np.int64)
-        depth = self.prior.shape[1].bit_length() - 1 if self.prior is not None else 0
-        end, tree, level = _ends(h[at], depth)[:, None], (leaf[at] - FIRST_SHARED)[:, None], np.arange(depth)
-        node = (1 << level) + (end >> (depth - level))
-        # the weights of four levels below a node lie in one row
-        key = ((tree << depth) + node[:, ::4]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        row = (((contexts[:, at, None] ^ key) * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(69 - len(self.turns).bit_length())).astype(np.int64) << 4
-        below = 1 << level % 4
-        index = row[:, :, level // 4] + (below + (node & (below - 1)))
-        return at, self.prior[tree, node] if depth else np.zeros((len(at), 0), "f4"), index, (end >> (depth - 1 - level)) & 1 if depth else end[:, :0]
-
-    def chances(self, f: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Both softmaxes' chances for the tokens with features ``f``."""
-        c = leaf // IN_CLASS
-        z, y = self.outer[f[0]], self.inner[f[0] * CLASSES + c]
-        for k in f[1:]:
-            z = z + self.outer[k]
-            y = y + self.inner[k * CLASSES + c]
-        out = []
-        for x in (z, y):
-            x = np.exp(x - x.max(axis=1, keepdims=True))
-            x /= x.sum(axis=1, keepdims=True)
-            out.append(x)
-        return out[0], out[1], c
-
-    def gains(self, h: np.ndarray, shared: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Per token the log10 of its leaf's chance over the leaf's share."""
-        leaf = self.leaves(h, shared)
-        f, out, contexts = self.features(h, leaf, counts), np.empty(len(h)), _contexts(h, counts)
+        bits = min(max(int(self.v).bit_length(), LEAST_ROWS), MOST_ROWS)
+        self.weights, self.seen = np.zeros((1 << bits, WIDTH), "f4"), np.zeros(1 << bits, "f4")
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """The codes of tokens' places."""
+        shared = FIRST[3] | (h >> np.uint64(48)).astype(np.int64)
+        if not len(self.own):
+            return shared
+        at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
+        return np.where(self.own[at] == h, self.own_code[at], shared)
+
+    def steps(self, code: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The nodes on the tokens' ways: token, node, branch, and the row of weights for each context."""
+        first = code >> 16
+        every = np.arange(len(code))
+        at = [every, every, *[np.flatnonzero(first >= f >> 16) for f in FIRST[1:]]]
+        on = [code[a] for a in at]
+        node = np.concatenate([ABOVE[k] + (c >> (20 - 4 * k)) for k, c in enumerate(on)])
+        branch = np.concatenate([(c >> (16 - 4 * k)) & 15 for k, c in enumerate(on)])
+        token = np.concatenate(at)
+        key = node.astype(np.uint64) * _GOLD
+        shift = np.uint64(65 - len(self.weights).bit_length())
+        rows = [(((c[token] ^ key) * _SPREAD) >> shift).astype(np.int64) for c in ctx]
+        return token, node, branch, rows
+
+    def chances(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """The softmax at each node, given the rows of weights."""
+        z, w = np.take(self.prior, node, axis=0, mode="clip"), np.empty((len(node), WIDTH), "f4")
+        for r in rows:
+            np.take(self.weights, r, axis=0, out=w, mode="clip")
+            z += w
+        np.exp(np.minimum(z, 60, out=z), out=z)
+        z /= (z @ _ONES)[:, None]
+        return z
+
+    def gains(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Per token the log10 of its place's chance over the place's share of the counts."""
+        code = self.codes(h)
+        ctx, out = contexts(h, code, counts), np.empty(len(h))
         for a in range(0, len(h), BATCH):
             b = slice(a, a + BATCH)
-            p, q, c = self.chances(f[:, b], leaf[b])
-            i = np.arange(len(c))
-            out[b] = np.log10(p[i, c]) + np.log10(q[i, leaf[b] % IN_CLASS])
-            at, prior, index, turn = self.walk(h[b], leaf[b], contexts[:, b])
-            if prior.size:
-                sign = (1 - 2 * turn).astype("f4")
-                moved = prior + self.turns[index].sum(axis=0)
-                out[a + at] += np.log10((1 + np.exp(sign * prior)) / (1 + np.exp(sign * moved))).sum(axis=1)
-        return out - self.share[leaf] / np.log(10)
-
-    def train(self, h: np.ndarray, shared: np.ndarray, counts: np.ndarray, sums: tuple[np.ndarray, ...], batch: int = BATCH) -> None:
-        """Gradient steps over the tokens, a batch at a time, each bucket at its own rate."""
-        leaf = self.leaves(h, shared)
-        f, contexts = self.features(h, leaf, counts), _contexts(h, counts)
+            token, node, branch, rows = self.steps(code[b], ctx[:, b])
+            p = self.chances(node, rows)[np.arange(len(node)), branch]
+            gain = np.log(np.maximum(p, 1e-30)) - self.prior[node, branch]
+            out[b] = np.bincount(token, gain, minlength=len(code[b]))
+        return out / np.log(10)
+
+    def train(self, h: np.ndarray, counts: np.ndarray, batch: int = BATCH, rate: float = RATE) -> None:
+        """Gradient steps over the tokens, a batch at a time; a row's rate falls with its squared gradients."""
+        code = self.codes(h)
+        ctx, flat, pairs = contexts(h, code, counts), self.weights.view("c8").ravel(), np.arange(WIDTH // 2)
         for a in range(0, len(h), batch):
             b = slice(a, a + batch)
-            p, q, c = self.chances(f[:, b], leaf[b])
-            i = np.arange(len(c))
-            p, q = -p, -q
-            p[i, c] += 1
-            q[i, leaf[b] % IN_CLASS] += 1
-            for w, s, g, index in ((self.outer, sums[0], p, f[:, b]), (self.inner, sums[1], q, f[:, b] * CLASSES + c)):
-                flat = index.ravel().astype("u2")  # sorted by radix
-                order = np.argsort(flat, kind="stable")
-                sorted_ = flat[order]
-                begin = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-                rows = sorted_[begin]
-                total = np.add.reduceat(g[order % len(c)], begin, axis=0)
-                s[rows] += total * total
-                w[rows] += RATE * total / np.sqrt(s[rows] + 1.0)
-            at, prior, index, turn = self.walk(h[b], leaf[b], contexts[:, b])
-            if prior.size:
-                g = (turn - 1 / (1 + np.exp(-(prior + self.turns[index].sum(axis=0))))).astype("f4").ravel()
-                total = sums[3]
-                for k in index:
-                    np.add.at(total, k.ravel(), g)
-                total, s, w = (x.reshape(-1, 16) for x in (total, sums[2], self.turns))
-                touched = np.zeros(len(w), bool)
-                touched[index[:, :, ::4].ravel() >> 4] = True
-                rows = np.flatnonzero(touched)
-                t = total[rows]
-                s[rows] = sum_ = s[rows] + t * t
-                w[rows] += np.float32(TURN_RATE) * t / np.sqrt(sum_ + 1)
-                total[rows] = 0
-
-
-def _ends(h: np.ndarray, depth: int) -> np.ndarray:
-    """Where words end in a tree: the first bits of their hash."""
-    return (h >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(h), np.int64)
+            _, node, branch, rows = self.steps(code[b], ctx[:, b])
+            g = self.chances(node, rows)
+            np.negative(g, out=g)
+            g[np.arange(len(node)), branch] += 1
+            square = np.einsum("ij,ij->i", g, g)
+            for r in rows:
+                np.add.at(self.seen, r, square)
+                step = g * (np.float32(rate) / np.sqrt(self.seen[r] + 1))[:, None]
+                # two weights are added as one complex number
+                np.add.at(flat, ((r * (WIDTH // 2))[:, None] + pairs).ravel(), step.view("c8").ravel())
 
 
 def _training() -> Column:
@@ -217,28 +170,23 @@ def _training() -> Column:
 
 
 def count_words(documents: DataFrame) -> DataFrame:
-    """``h, leaf, c``: the count of every word (by hash) and of the end in ``documents``, as a written table."""
+    """``h, c``: the count of every word (by hash) and of the end in ``documents``, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, leaves = [], []
-            for _, _, data, offs in words.slices(b.column("text")):
-                h, leaf, _, _ = _tokens(data, offs)
-                hs.append(h)
-                leaves.append(leaf.astype("i2"))
+            hs = [_tokens(data, offs)[0] for _, _, data, offs in words.slices(b.column("text"))]
             if hs:
-                u, first, n = np.unique(np.concatenate(hs), return_index=True, return_counts=True)
-                leaf = np.concatenate(leaves)[first]
+                u, n = np.unique(np.concatenate(hs), return_counts=True)
                 for a in range(0, len(u), 100_000):
                     s = slice(a, a + 100_000)
-                    yield pa.record_batch([pa.array(u[s].view(np.int64)), pa.array(leaf[s]), pa.array(n[s].astype(np.int64))], ["h", "leaf", "c"])
+                    yield pa.record_batch([pa.array(u[s].view(np.int64)), pa.array(n[s].astype(np.int64))], ["h", "c"])
 
-    rows = documents.select("text").mapInArrow(run, "h bigint, leaf smallint, c bigint")
-    return written(rows.groupBy("h").agg(F.min("leaf").alias("leaf"), F.sum("c").alias("c")), "lm-counts")
+    rows = documents.select("text").mapInArrow(run, "h bigint, c bigint")
+    return written(rows.groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
 
 
 def _counted(counts: DataFrame, hot: int) -> Model:
-    """The totals, the commonest words and the leaves' shares."""
+    """The totals, the commonest words, their places and the nodes' shares."""
     # 8 bins to a doubling: how many words are as common
     bins = counts.groupBy(F.floor(F.log2("c") * 8).alias("bin")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.min("c").alias("least")).orderBy(F.desc("bin")).collect()
     least, room = None, hot
@@ -250,92 +198,111 @@ def _counted(counts: DataFrame, hot: int) -> Model:
     n, v = sum(r["n"] for r in bins), sum(r["v"] for r in bins)
     common = counts.where(F.col("c") >= least) if least is not None else counts.limit(0)
     common = common.toPandas().sort_values(["c", "h"], ascending=[False, True])
-    h, c, leaf = common["h"].to_numpy().astype(np.int64).view(np.uint64), common["c"].to_numpy().astype(np.int64), common["leaf"].to_numpy().astype(np.int64)
-    mass = np.full(LEAVES, 0.5 / (BEFORE or 1))
-    for r in counts.groupBy("leaf").agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
-        mass[r["leaf"]] += r["m"]
-    pick = np.flatnonzero(h != END)[:TOP]
-    np.subtract.at(mass, leaf[pick], c[pick] + 0.5)
-    mass[: len(pick)] += c[pick] + 0.5
-    mass[BEFORE] = 1e-9
-    order, by = np.argsort(h), np.argsort(h[pick])
-    model = Model(int(n), int(v), h[order], c[order], h[pick][by], by.astype(np.int64), np.log(np.maximum(mass, 1e-9) / mass.sum()))
-    model.prior = _prior(counts, int(v), h[pick], leaf[pick], c[pick])
-    return model
+    h, c = common["h"].to_numpy().astype(np.int64).view(np.uint64), common["c"].to_numpy().astype(np.int64)
+    mass = counts.groupBy(F.shiftrightunsigned("h", 48).alias("place")).agg(F.sum(F.col("c") + 0.5).alias("m"), F.max(F.when(F.col("h") == _END_LONG, F.col("c"))).alias("end")).toPandas()
+    shared = np.full(SHARED, 0.5 / SHARED)
+    shared[mass["place"].to_numpy(np.int64)] += mass["m"].to_numpy(float)
+    ends = float(np.nan_to_num(mass["end"].to_numpy(float)).max()) if len(mass) else 0.0
+    words_ = np.flatnonzero(h != END)[: sum(OWN) - 1]
+    own, own_mass = np.append(END, h[words_]), np.append(ends, c[words_]) + 0.5
+    np.subtract.at(shared, (own >> np.uint64(48)).astype(np.int64), own_mass)
+    code, at = np.empty(len(own), np.int64), 0
+    for size, first, low in zip(OWN, FIRST, (12, 8, 4), strict=False):
+        k = min(size, len(own) - at)
+        code[at : at + k] = first + (np.arange(k) << low)
+        at += k
+    order, by = np.argsort(h), np.argsort(own)
+    return Model(int(n), int(v), h[order], c[order], own[by], code[by], _prior(code, own_mass, np.maximum(shared, 1e-9)))
+
+
+def _prior(code: np.ndarray, mass: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The log shares of every node's branches: masses of places added up towards the root."""
+    codes, masses = np.append(code, FIRST[3] + np.arange(SHARED)), np.append(mass, shared)
+    depth, out = DEPTH[codes >> 16], np.zeros((NODES, WIDTH), "f4")
+    for k in range(LEVELS):
+        on = depth > k
+        below = np.bincount(codes[on] >> (16 - 4 * k), masses[on], minlength=WIDTH ** (k + 1)).reshape(-1, WIDTH) + 1e-9
+        out[ABOVE[k] : ABOVE[k] + len(below)] = np.log(below / below.sum(axis=1, keepdims=True))
+    return out
 
 
-def _prior(counts: DataFrame, v: int, top: np.ndarray, leaf: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The log odds at each node of the leaves' trees by ``counts``, without the ``top`` words; deeper the more words there are."""
-    depth = min(max(v.bit_length() - 4, 4), DEPTH)
-    mass = np.full((SHARED, 1 << depth), 0.5 / BEFORE / (1 << depth))
-    shared = counts.where((F.col("leaf") >= FIRST_SHARED) & (F.col("leaf") < BEFORE))
-    ends = shared.groupBy("leaf", F.shiftrightunsigned("h", 64 - depth).cast("int").alias("end")).agg(F.sum(F.col("c") + 0.5).alias("m")).toPandas()
-    mass[ends["leaf"].to_numpy(np.int64) - FIRST_SHARED, ends["end"].to_numpy(np.int64)] += ends["m"].to_numpy(float)
-    np.subtract.at(mass, (leaf - FIRST_SHARED, _ends(top, depth)), c + 0.5)
-    mass, out = np.maximum(mass, 1e-9), np.zeros((SHARED, 1 << depth), "f4")
-    for level in range(depth - 1, -1, -1):
-        zero, one = mass[:, 0::2], mass[:, 1::2]
-        out[:, 1 << level : 2 << level] = np.log(one / zero)
-        mass = zero + one
-    return out
+def _moved(model: Model, start: np.ndarray, before: np.ndarray, task: int) -> Iterator[pa.RecordBatch]:
+    """What a task has learned: the rows that it moved, in blocks."""
+    s = model.seen - before
+    for block, rows in enumerate(np.array_split(np.arange(len(s), dtype="<i4"), BLOCKS)):
+        rows = rows[s[rows] > 0]
+        if len(rows):
+            parts = rows, (model.weights[rows] - start[rows]).astype("<f2"), s[rows].astype("<f4"), (s[rows] ** 2).astype("<f4")
+            yield pa.record_batch([pa.array([task], pa.int32()), pa.array([block], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], ["task", "block", *_PARTS])
+
+
+_PARTS = ("rows", "delta", "s", "s2")
+_MOVED = "task int, block int, rows binary, delta binary, s binary, s2 binary"
 
 
-def _blocks(model: Model, sums: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
-    """All weights in blocks; those of the trees that no step has moved as NaN."""
-    flat = np.concatenate([model.outer.ravel(), model.inner.ravel(), np.where(sums[2] > 0, model.turns, np.float32(np.nan))])
-    yield from np.array_split(flat, BLOCKS)
+def _put_together(t: pa.Table) -> pa.Table:
+    """One block of several tasks as one: movements weighted by squared gradients."""
+    kinds = dict(zip(_PARTS, ("<i4", "<f2", "<f4", "<f4"), strict=True))
+    read = [[np.frombuffer(x.as_buffer(), kinds[p]) for x in t.column(p)] for p in _PARTS]
+    rows, at = np.unique(np.concatenate(read[0]), return_inverse=True)
+    s = np.concatenate(read[2])
+    delta = np.concatenate(read[1]).reshape(-1, WIDTH).astype(float) * s[:, None]
+    total, square = np.bincount(at, s), np.bincount(at, np.concatenate(read[3]))
+    mean = np.stack([np.bincount(at, delta[:, k]) for k in range(WIDTH)], axis=1) / total[:, None]
+    out = rows.astype("<i4"), mean.astype("<f2"), total.astype("<f4"), square.astype("<f4")
+    return pa.table({"task": t.column("task").slice(0, 1), "block": t.column("block").slice(0, 1)} | {p: pa.array([x.tobytes()], pa.binary()) for p, x in zip(_PARTS, out, strict=True)})
 
 
-def _from_blocks(model: Model, blocks: list[np.ndarray]) -> None:
-    flat = np.concatenate(blocks).astype("f4")
-    outer, inner, turns = np.split(flat, np.cumsum([model.outer.size, model.inner.size]))
-    model.outer, model.inner = outer.reshape(BUCKETS, CLASSES), inner.reshape(-1, IN_CLASS)
-    model.turns = np.where(np.isnan(turns), model.turns, turns)
+def _take_in(model: Model, rows: np.ndarray, mean: np.ndarray, s: np.ndarray, s2: np.ndarray) -> None:
+    """Move the model's weights by the tasks' mean, or by more where each has seen little."""
+    tasks, each = s * s / np.maximum(s2, 1e-12), s2 / np.maximum(s, 1e-12)
+    more = 1 + (np.sqrt(np.maximum(tasks, 1)) - 1) / (1 + each / SURE)
+    model.weights[rows] += mean * more[:, None]
+    model.seen[rows] += each
 
 
-def fit(documents: DataFrame, counts: DataFrame, rounds: int = ROUNDS, hot: int = HOT, batch: int = BATCH) -> Model:
+def fit(documents: DataFrame, counts: DataFrame, rounds: int = ROUNDS, hot: int = HOT, batch: int = BATCH, task_tokens: int = TASK_TOKENS) -> Model:
     """Train on all ``documents(doc_id, text)``, each in one of ``rounds`` rounds.
 
-    As many workers as the session has cores train on their documents from the same
-    weights; each sends its weights in blocks, and a block's mean, weighted by tokens,
-    is taken by a task of its own, of a tree's weight over the workers that moved it. The
-    driver gets the means: 4.5 MB a round and the trees' weights, at most 17 MB.
+    A task trains on about ``task_tokens`` tokens (or one file split, if that is more)
+    from the weights of the round before; with little input there are as many tasks as
+    cores. The rows that tasks moved are merged block by block, ``FAN`` tasks at a time,
+    so a merge is bounded whatever the input. The driver gets the merged rows: 12 MB a
+    round at most.
     """
     spark = documents.sparkSession
     model = _counted(counts, hot)
     model.start()
+    tasks = max(1, spark.sparkContext.defaultParallelism, -(-model.n // (task_tokens * rounds)))
     for k in range(rounds):
+        mine = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text").coalesce(tasks)
         known = spark.sparkContext.broadcast(dataclasses.replace(model, hot=model.hot[:0], hot_counts=model.hot_counts[:0]))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            m = dataclasses.replace(known.value, outer=known.value.outer.copy(), inner=known.value.inner.copy(), turns=known.value.turns.copy())
-            sums, n = tuple(np.zeros_like(x) for x in (m.outer, m.inner, m.turns, m.turns)), 0
+            from pyspark import TaskContext
+
+            m = dataclasses.replace(known.value, weights=known.value.weights.copy(), seen=known.value.seen.copy())
             for b in batches:
                 for _, _, data, offs in words.slices(b.column("text")):
-                    h, shared, _, sizes = _tokens(data, offs)
-                    m.train(h, shared, sizes, sums, batch)
-                    n += len(h)
-            if n:
-                for i, x in enumerate(_blocks(m, sums)):
-                    yield pa.record_batch([pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([x.astype("<f4").tobytes()])], ["block", "n", "weights"])
-
-        def mean(t: pa.Table) -> pa.Table:
-            n = t.column("n").to_numpy().astype(float)
-            total = of = 0.0
-            for w, x in zip(n, t.column("weights"), strict=True):
-                x = np.frombuffer(x.as_buffer(), "<f4").astype(float)
-                total, of = total + w * np.nan_to_num(x), of + w * ~np.isnan(x)
-            got = np.where(of > 0, total / np.maximum(of, 1), np.nan)
-            return pa.table({"block": t.column("block").slice(0, 1), "weights": pa.array([got.astype("<f4").tobytes()])})
-
-        mine = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text").coalesce(max(1, spark.sparkContext.defaultParallelism))
-        sent = mine.mapInArrow(run, "block int, n bigint, weights binary")
-        got = sent.groupBy("block").applyInArrow(mean, "block int, weights binary").collect()
-        if got:
-            _from_blocks(model, [np.frombuffer(r["weights"], "<f4") for r in sorted(got, key=lambda r: r["block"])])
+                    h, _, sizes = _tokens(data, offs)
+                    m.train(h, sizes, batch)
+            yield from _moved(m, known.value.weights, known.value.seen, TaskContext.get().partitionId())
+
+        parts, moved = mine.rdd.getNumPartitions(), mine.mapInArrow(run, _MOVED)
+        while parts > 1:
+            moved = moved.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("task", "block").applyInArrow(_put_together, _MOVED)
+            parts = -(-parts // FAN)
+        for r in moved.collect():
+            _take_in(model, *_read(r))
+        known.unpersist()
     return model
 
 
+def _read(r) -> tuple[np.ndarray, ...]:
+    """A merged block's rows, mean movements, and sums of squared gradients and of their squares."""
+    return np.frombuffer(r["rows"], "<i4"), np.frombuffer(r["delta"], "<f2").reshape(-1, WIDTH).astype("f4"), np.frombuffer(r["s"], "<f4"), np.frombuffer(r["s2"], "<f4")
+
+
 def score_documents(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Score whole texts: ``doc_id, n_tokens, n_known, base_score, score``, log10 chances.
 
@@ -356,9 +323,9 @@ def score_documents(documents: DataFrame, model: Model, counts: DataFrame) -> Da
         for b in batches:
             ids = b.column("doc_id")
             for at, to, data, offs in words.slices(b.column("text")):
-                h, shared, of, counts_ = _tokens(data, offs)
+                h, of, counts_ = _tokens(data, offs)
                 n = to - at
-                gain = np.bincount(of, m.gains(h, shared, counts_), minlength=n)
+                gain = np.bincount(of, m.gains(h, counts_), minlength=n)
                 u, inverse = np.unique(h, return_inverse=True)
                 place = np.minimum(np.searchsorted(m.hot, u), max(0, len(m.hot) - 1))
                 hot = m.hot[place] == u if len(m.hot) else np.zeros(len(u), bool)
@@ -391,4 +358,5 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_words(train)
     model = fit(train, counts)
     scored = score_documents(documents, model, counts)
-    return scored.select("doc_id", (~_training()).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    each = [(F.col(c) / F.col("n_tokens")).alias(name) for c, name in (("score", "token_score"), ("base_score", "token_base_score"))]
+    return scored.select("doc_id", (~_training()).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score", *each)

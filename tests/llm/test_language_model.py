@@ -41,21 +41,71 @@ def test_rare_words_are_joined_when_few_are_broadcast(spark):
     assert a == b
 
 
-def test_chances_sum_to_one():
-    m = lm.Model(10, 3, *[np.zeros(0)] * 4, np.log(np.full(lm.LEAVES, 1 / lm.LEAVES)))
+def any_model(seed=1):
+    """A model of random shares and weights."""
+    rng = np.random.default_rng(seed)
+    m = lm.Model(10, 3, *[np.zeros(0)] * 4, np.zeros((lm.NODES, lm.WIDTH), "f4"))
+    m.prior = rng.normal(size=m.prior.shape).astype("f4")
+    m.prior -= np.log(np.exp(m.prior).sum(axis=1, keepdims=True))
     m.start()
-    rng = np.random.default_rng(1)
-    m.outer += rng.normal(size=m.outer.shape).astype("f4")
-    m.inner += rng.normal(size=m.inner.shape).astype("f4")
-    f = rng.integers(0, lm.BUCKETS, (6, 1)).repeat(lm.LEAVES, 1)
-    p, q, c = m.chances(f, np.arange(lm.LEAVES))
-    assert (p[np.arange(lm.LEAVES), c] * q[np.arange(lm.LEAVES), np.arange(lm.LEAVES) % lm.IN_CLASS]).sum() == pytest.approx(1, abs=1e-4)
-
-
-def test_context_tells_words_of_a_leaf_apart(spark):
-    # 100 commoner words take the leaves of their own
-    common = " ".join(f"w{j}" for j in range(100))
-    lines = ["red xaqqq", "blue yaqqq"] * 100 + [common] * 150
+    m.weights = rng.normal(size=m.weights.shape).astype("f4")
+    return m
+
+
+def test_chances_sum_to_one():
+    m = any_model()
+    codes = np.concatenate([f + (np.arange(n) << low) for f, n, low in zip(lm.FIRST, (*lm.OWN, lm.SHARED), (12, 8, 4, 0))])
+    ctx = np.random.default_rng(2).integers(0, 2**63, (lm.CONTEXTS, 1)).astype(np.uint64).repeat(len(codes), 1)
+    token, node, branch, rows = m.steps(codes, ctx)
+    log = np.bincount(token, np.log(m.chances(node, rows)[np.arange(len(node)), branch].astype(float)))
+    assert np.exp(log).sum() == pytest.approx(1, abs=1e-4)
+
+
+def mix(x):
+    for shift, times in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ x >> shift) * times % 2**64
+    return x ^ x >> 33
+
+
+def brute_gain(m, text):
+    """The gain of a text over its counts' score, a token and a node at a time."""
+    import pyarrow as pa
+
+    (_, _, data, offs), = words.slices(pa.array([text]))
+    h = [int(x) for x in words.hashes(data, *words.words(data, offs)[:2])] + [int(lm.END)]
+    place = dict(zip(m.own.tolist(), m.own_code.tolist()))
+    codes = [place.get(x, 0xF0000 | x >> 48) for x in h]
+    total = 0.0
+    for i, code in enumerate(codes):
+        one, two = (h[i - k] if i >= k else 0 for k in (1, 2))
+        near, far = ((codes[i - k] >> 12) + 1 if i >= k else 0 for k in (1, 2))
+        ctx = [mix(x % 2**64) for x in (one + 1, one * 3 + mix(two), two * 5 + 2, near * 512 + far + 3)]
+        digits = [code >> s & 15 for s in (16, 12, 8, 4, 0)]
+        node = 0
+        for k in range(2 if digits[0] < 8 else 3 if digits[0] < 12 else 4 if digits[0] < 15 else 5):
+            number = sum(16**j for j in range(k)) + node
+            key = number * 0x9E3779B97F4A7C15 % 2**64
+            rows = [((c ^ key) * 0xC4CEB9FE1A85EC53 % 2**64) * len(m.weights) >> 64 for c in ctx]
+            z = [float(m.prior[number][b]) + sum(float(m.weights[r][b]) for r in rows) for b in range(16)]
+            total += z[digits[k]] - math.log(sum(math.exp(x) for x in z)) - float(m.prior[number][digits[k]])
+            node = node * 16 + digits[k]
+    return total / math.log(10)
+
+
+def test_score_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("length(text) < 400")
+    counts = lm.count_words(docs)
+    model = lm.fit(docs, counts, batch=256)
+    texts = {r.doc_id: r.text for r in docs.collect()} | {-1: "", -2: "never seen words here", -3: "The the THE"}
+    asked = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = lm.score_documents(asked, model, counts).collect()
+    assert len(got) == len(texts) and np.abs(model.weights).max() > 0.1
+    for r in got:
+        assert r.score - r.base_score == pytest.approx(brute_gain(model, texts[r.doc_id]), rel=1e-3, abs=1e-3)
+
+
+def test_context_tells_words_of_a_class_apart(spark):
+    lines = ["red xaqqq", "blue yaqqq"] * 100
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").coalesce(2)
     counts = lm.count_words(docs)
     texts = ["red xaqqq", "red yaqqq", "blue yaqqq", "blue xaqqq"]
@@ -64,15 +114,30 @@ def test_context_tells_words_of_a_leaf_apart(spark):
     assert got["red xaqqq"] > got["red yaqqq"] + 0.1 and got["blue yaqqq"] > got["blue xaqqq"] + 0.1
 
 
-def test_chances_in_a_tree_sum_to_one():
-    m = lm.Model(10, 3, *[np.zeros(0)] * 4, np.log(np.full(lm.LEAVES, 1 / lm.LEAVES)))
-    m.start()
-    rng = np.random.default_rng(2)
-    m.prior, m.turns = rng.normal(size=(lm.SHARED, 16)).astype("f4"), rng.normal(size=m.turns.shape).astype("f4")
-    h, leaf = np.arange(16, dtype=np.uint64) << np.uint64(60), np.full(16, lm.FIRST_SHARED + 5)
-    at, prior, index, turn = m.walk(h, leaf, rng.integers(0, 2**63, (3, 1)).astype(np.uint64).repeat(16, 1))
-    one = 1 / (1 + np.exp(-(prior + m.turns[index].sum(axis=0))))
-    assert len(at) == 16 and np.where(turn == 1, one, 1 - one).prod(axis=1).sum() == pytest.approx(1, abs=1e-4)
+def test_merge_in_steps_is_the_merge_at_once():
+    rng = np.random.default_rng(3)
+    start = any_model()
+    tables = []
+    for task in range(6):
+        m = any_model()
+        rows = rng.choice(len(m.weights), 50, replace=False)
+        m.weights[rows] += rng.normal(size=(50, lm.WIDTH)).astype("f4")
+        m.seen[rows] += rng.random(50).astype("f4") + 0.1
+        tables.append(lm.pa.Table.from_batches(list(lm._moved(m, start.weights, start.seen, task))))
+
+    def merged(tables):
+        t = lm.pa.concat_tables(tables)
+        blocks = t.column("block").to_numpy()
+        return lm.pa.concat_tables([lm._put_together(t.filter(lm.pa.array(blocks == b))) for b in np.unique(blocks)])
+
+    out = []
+    for t in (merged(tables), merged([merged(tables[:3]), merged(tables[3:])])):
+        m = any_model()
+        for r in t.to_pylist():
+            lm._take_in(m, *lm._read(r))
+        out.append(m)
+    assert np.allclose(out[0].weights, out[1].weights, atol=0.02) and np.allclose(out[0].seen, out[1].seen, rtol=1e-3)
+    assert np.abs(out[0].weights - start.weights).max() > 0.5
 
 
 def test_word_places_and_hashes():
