@@ -1,33 +1,54 @@
 """Tables that cut lineage, kept where every executor can read them.
 
-The folder is the one the session names in ``spark.checkpoint.dir``. Only where
-that is unset (a local test session) a folder of this machine is used.
+The folder is the one the session names in ``spark.checkpoint.dir``. Where that is unset,
+a session of one machine gets a folder of this machine; on a cluster that is an error.
+What a session leaves in its folder goes when the session ends.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_RUNS: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Bytes of an Arrow batch that goes to a Python worker, where the session sets no less.
+ARROW_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI or path without a trailing slash."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not context.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="quern-")
     return f"file://{_LOCAL[app]}"
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    """A path below the session's own part of the shared folder that nothing has used yet."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
+        fs, p = _path(spark, _RUNS[app])
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{_RUNS[app]}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,4 +59,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        path = _PATHS.pop(t, None)
+        if path is not None:
+            fs, p = _path(t.sparkSession, path)
+            fs.delete(p, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``ARROW_BYTES``: long rows then fill no worker."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW_BYTES:
+        spark.conf.set(_BATCHES, str(ARROW_BYTES))
