@@ -26,8 +26,8 @@ def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier, fitted on the labels, does not reject."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the line classifier, fitted on the labels that aren't held out, does not reject."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out()))
     return quality.score_documents(docs, model).where(F.col("score") >= quality.KEEP).select(docs.columns)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.shared import written
+from quern.plans.shared import discard, written
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
@@ -40,8 +40,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # done when each node points once and to a node that points nowhere
         tips = small.select("v").join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         twice = small.groupBy("u").count().where("count > 1").select("u")
+        settled = tips.isEmpty() and twice.isEmpty()
+        discard(e, m, large, m2)
         e = small
-        if tips.isEmpty() and twice.isEmpty():
+        if settled:
             break
     else:
         raise RuntimeError("components did not settle")

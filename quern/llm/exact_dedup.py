@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.plans.shared import written
+from quern.llm import words
+from quern.plans.shared import small_batches, written
 
 #: Two primes below 2^31 and a base for each. Products with a byte stay below 2^39, so
 #: sums over a chunk are exact in doubles.
@@ -73,7 +74,10 @@ def normal(text: str) -> bytes:
 def fingerprints(documents: DataFrame) -> DataFrame:
     """``doc_id, fp, n_bytes, text_sha256`` of the normal form of each row of ``documents(doc_id, text)``."""
 
+    small_batches(documents.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.give_back()
         for b in batches:
             fps, sizes, shas = [], [], []
             for text in b.column("text"):

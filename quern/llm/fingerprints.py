@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest
 
-from quern.plans.shared import written
+from quern.llm import words
+from quern.plans.shared import small_batches, written
 
 #: Fingerprints that a join looks up by a broadcast table; beyond it, by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -96,6 +97,7 @@ def with_next(documents: DataFrame) -> DataFrame:
 
 def _with_next(documents: DataFrame, digest: Callable[[bytes], str] = xxh3_128_hexdigest, clashing: Collection[str] = ()) -> DataFrame:
     """``with_next`` and ``part``: the canonical form where the fingerprint is in ``clashing``, else empty."""
+    small_batches(documents.sparkSession)
     spark, id_type = documents.sparkSession, documents.schema["doc_id"].dataType.simpleString()
     d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

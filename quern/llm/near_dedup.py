@@ -25,14 +25,14 @@ from xxhash import xxh3_128_digest
 
 from quern.llm import words
 from quern.llm.components import connected_components
-from quern.plans.shared import written
+from quern.plans.shared import small_batches, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with a chance of (1 - 0.8^5)^24 = 7e-5.
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Documents and shingles a block of the comparison of what the leaders left open.
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK, BLOCK_SHINGLES = 128, 500_000
 #: Candidates that are looked up by a broadcast table of ids; beyond it, by a shuffled join.
 BROADCAST_ROWS = 1_000_000
 _MULTIPLY = words.mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -212,6 +212,7 @@ def near_classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFram
     of A-Z and the kind of white space make no difference. An empty table gives no rows.
     Other columns are ignored.
     """
+    small_batches(documents.sparkSession)
     signed = _signed(documents)
     reps = written(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-reps")
     each = reps.select("rep", F.explode("bands").alias("key"))

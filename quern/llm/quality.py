@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import words
+from quern.plans.shared import small_batches
 
 #: The classifier is fitted on at most so many labelled documents, those with the least
 #: hash of their id. Scoring reads every document whole.
@@ -164,6 +165,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
     executors; the driver gets numbers of the sample only. Without rows, or with one
     label only, every score is that label's share with a prior of a half.
     """
+    small_batches(documents.sparkSession)
     few = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
 
@@ -194,16 +196,15 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     Only ``text`` is read, whole. A null or empty text is one empty line. Repeated rows
     get equal scores. An empty table gives no rows.
     """
-    columns = [c for c in documents.columns if c != "score"]
-    schema = ", ".join(f"`{c.replace('`', '``')}` {documents.schema[c].dataType.simpleString()}" for c in columns)
+    small_batches(documents.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(columns.index("text"))
-            out = [model.documents(*line_features(data, offs)) for _, _, data, offs in words.slices(texts)]
-            yield pa.record_batch([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*columns, "score"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out = [model.documents(*line_features(data, offs)) for _, _, data, offs in words.slices(texts)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    return documents.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, f"{schema}, score double")
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in documents.columns if c != "score"]
+    return documents.select(*columns, score("text").alias("score"))
 
 
 def label_lines(documents: DataFrame, model: Model) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import tokens
-from quern.plans.shared import fresh_path, written
+from quern.plans.shared import fresh_path, small_batches, written
 
 LENGTH, ROWS, END = 2048, 256, 2
 
@@ -112,6 +112,7 @@ def encode_to_files(documents: DataFrame, path: str | None = None, end: int = EN
     no rows. Other columns are ignored.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     path, to = path or tokens.default_path(), to or fresh_path(spark, "token-files")
     d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -40,7 +40,7 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Ids as little-endian unsigned 16-bit integers (the vocabulary has under 65,536)."""
 
-    def __init__(self, path: str, words: int = 200_000, pieces: int = 200_000):
+    def __init__(self, path: str, words: int = 120_000, pieces: int = 120_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -99,12 +99,12 @@ class Encoder:
             return b"".join([word(w) if (x := get(w)) is None else x for w in words])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = arrow_words.kept.setdefault("tokens", {})
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker process, kept between tasks."""
-    arrow_words.give_back()
+    """The encoder of this worker process, kept between tasks until another operator's task runs here."""
+    arrow_words.give_back("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

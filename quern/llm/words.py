@@ -45,8 +45,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def give_back() -> None:
-    """Return to the system what earlier batches and tasks of this worker have freed."""
+#: What operators keep in this worker process between tasks, by the operator's name.
+kept: dict[str, dict] = {}
+
+
+def give_back(user: str = "words") -> None:
+    """Return to the system what earlier batches and tasks of this worker have freed, and what other operators keep here."""
+    global _powers
+    for name, cache in kept.items():
+        if name != user:
+            cache.clear()
+    if len(_powers[0]) > 2 * SLICE:
+        _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -27,7 +27,7 @@ def test_stages(spark):
     good = [i for i in ids[0] if labels.get(i) == 1]
     assert len([i for i in good if i in ids[1]]) >= 0.97 * len(good)
     assert len([i for i in ids[1] if labels.get(i) == 0]) <= 0.2 * len([i for i in ids[0] if labels.get(i) == 0])
-    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").where(~quality.held_out()))
     assert ids[1] == {r.doc_id for r in quality.score_documents(docs, model).collect() if r.score >= quality.KEEP}
     first = {}
     for i in sorted(ids[1]):
