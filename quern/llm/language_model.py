@@ -4,8 +4,8 @@ Every word has a place in a tree of classes, sixteen to a node. The commonest wo
 places of their own, the commoner the nearer the root; all others share places by their
 hash. A word's chance is the product of a softmax at each node on its way, times its
 share of its place by the counts. A softmax starts from the counts and is moved by hashed
-weights for n-grams and skips: the word before, the two before, the one before the last,
-and the classes of the two before, each together with the node. So words of one class are
+weights for n-grams and skips: the word before, the one before the last, and the classes
+of the two before, each together with the node. So words of one class are
 told apart by context, down to their place. The score of a text is its unigram score
 plus, for each node on each token's way, the gain of the model's chance over the counts'.
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import words
-from quern.plans.shared import written
+from quern.plans.shared import small_batches, written
 
 #: The commonest words, at most so many, whose counts are broadcast.
 HOT = 1 << 19
@@ -41,10 +41,10 @@ OWN, FIRST, SHARED = (8 * 16, 4 * 256, 3 * 4096), (0x00000, 0x80000, 0xC0000, 0x
 #: Nodes of each level come after those of the levels above.
 ABOVE = np.array([0, 1, 17, 273, 4369], np.int64)
 NODES = 69_905
-CONTEXTS = 4
+CONTEXTS = 3
 #: Rows of hashed weights grow with the vocabulary, from and to these powers of two.
 LEAST_ROWS, MOST_ROWS = 12, 18
-ROUNDS, BATCH, RATE, TASK_TOKENS = 2, 8192, 0.3, 4_000_000
+ROUNDS, BATCH, RATE, TASK_TOKENS = 2, 8192, 0.3, 2_500_000
 #: Blocks of weights, and tasks whose weights one step of the merge puts together.
 BLOCKS, FAN = 64, 16
 #: Squared gradients up to which what several tasks learned of a row adds up; beyond, it is averaged.
@@ -76,12 +76,12 @@ def _back(x: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
 
 
 def contexts(h: np.ndarray, code: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Each token's hashed contexts: the word before, the two before, the one before the last, and the classes of the two before."""
+    """Each token's hashed contexts: the word before, the one before the last, and the classes of the two before."""
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     one, two = _back(h, place, 1), _back(h, place, 2)
     near = (code >> 12).astype(np.uint64) + np.uint64(1)
     near, far = _back(near, place, 1), _back(near, place, 2)
-    out = np.stack([one + np.uint64(1), one * np.uint64(3) + words.mix(two), two * np.uint64(5) + np.uint64(2), (near << np.uint64(9)) + far + np.uint64(3)])
+    out = np.stack([one + np.uint64(1), two * np.uint64(5) + np.uint64(2), (near << np.uint64(9)) + far + np.uint64(3)])
     return words.mix(out)
 
 
@@ -181,6 +181,7 @@ def count_words(documents: DataFrame) -> DataFrame:
                     s = slice(a, a + 100_000)
                     yield pa.record_batch([pa.array(u[s].view(np.int64)), pa.array(n[s].astype(np.int64))], ["h", "c"])
 
+    small_batches(documents.sparkSession)
     rows = documents.select("text").mapInArrow(run, "h bigint, c bigint")
     return written(rows.groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
 

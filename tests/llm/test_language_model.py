@@ -79,7 +79,7 @@ def brute_gain(m, text):
     for i, code in enumerate(codes):
         one, two = (h[i - k] if i >= k else 0 for k in (1, 2))
         near, far = ((codes[i - k] >> 12) + 1 if i >= k else 0 for k in (1, 2))
-        ctx = [mix(x % 2**64) for x in (one + 1, one * 3 + mix(two), two * 5 + 2, near * 512 + far + 3)]
+        ctx = [mix(x % 2**64) for x in (one + 1, two * 5 + 2, near * 512 + far + 3)]
         digits = [code >> s & 15 for s in (16, 12, 8, 4, 0)]
         node = 0
         for k in range(2 if digits[0] < 8 else 3 if digits[0] < 12 else 4 if digits[0] < 15 else 5):
