@@ -16,7 +16,8 @@ ALL = [(url_filters.op1_url_filters, url_filters.ORACLE), (pii.op2_pii, pii.ORAC
 TEXTS = [
     None, "", " \n\t", "a@b.co", "x.y@a.b.c_d@e.ff", "a@b a@b.c..d@e.f", "@@a@b.c", "1.2.3.4.5", "256.1.1.1 0001.02.3.004 1.2.3", "9.99.999.9999",
     "4111 1111 1111 1111", "4111-1111-1111-1111 and 4111111111111111 4111111111111112", "1234567 4111 1111 1111 1111", "+1 (555) 010-9999 +12 +1 2", "+1(555)0109999+44 20 7946 0958.",
-    "IBAN GB82 WEST 1234 5698 7654 32 ok", "iban DE89370400440532013000", "DE88370400440532013000", "ssn 123-45-6789", "123-45-6789", "my social security number: 123-45-6789, thanks", "éé a@b.cd é 1.1.1.1 \U0001f600 c@d.ef",
+    "IBAN GB82 WEST 1234 5698 7654 32 ok", "iban DE89370400440532013000", "DE88370400440532013000", "ssn 123-45-6789", "123-45-6789", "my social security number: 123-45-6789, thanks", "ssn 1-2, 123-45-6789, 123-45-6789, 123-45-6789 and 123-45-6789",
+    'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" ok', "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "api_key: aaaaaaaaaaaaaaaaaaaaaaaa1", "password AbCdEfGh01234567890_/-x test", "a-key-that-is-words-only-and-long", "éé a@b.cd é 1.1.1.1 \U0001f600 c@d.ef",
     "9" * 40, "a" * 20_000, "a." * 9_000 + "@", "1 " * 20_000, "one two three", "one  two\nthree", " one two three", "one two three ",
 ]
 
@@ -83,6 +84,19 @@ def test_base_spans_by_plain_patterns(spark):
         assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in kinds] == want, t
 
 
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (5_000, 100_000):
+        text = spark.createDataFrame([(1, "1.2.3.4 a@b.co " * (n // 2))], "doc_id bigint, text string")
+        began = time.perf_counter()
+        (r,) = pii.find_pii(text).selectExpr("size(spans) as n", "spans[size(spans) - 1].end as last").collect()
+        took.append(time.perf_counter() - began)
+        assert (r.n, r.last) == (n, (n // 2 - 1) * 15 + 7)
+    assert took[1] < 20 * took[0] + 20
+
+
 def test_mixture_keeps_to_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.choice([1, 5, 40, 300])), s) for s, n in (("a", 900), ("b", 30), ("c", 300), (None, 3)) for i in (rng.randrange(10**9) for _ in range(n))]
