@@ -12,12 +12,15 @@ import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _RUNS: dict[str, str] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: Bytes of an Arrow batch that goes to a Python worker, where the session sets no less.
 ARROW_BYTES = 4 << 20
+#: Rows, and bytes of its files, up to which a table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -64,6 +67,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table for the small side of a join: broadcast if it has few rows and, where ``written`` made it, few bytes."""
+    path = _PATHS.get(table)
+    if path is not None:
+        fs, p = _path(table.sparkSession, path)
+        if fs.getContentSummary(p).getLength() > BROADCAST_BYTES:
+            return table
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more."""
     for t in tables:
