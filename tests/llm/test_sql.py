@@ -107,6 +107,29 @@ def test_mixture_keeps_to_its_targets(spark):
     assert total == pytest.approx(got["size"].sum(), abs=1)
 
 
+def test_inclusion_frequencies(spark):
+    """Sources of one composition, in which no document is a large part: how often a size is taken against its stated chance."""
+    sizes = [3] * 40 + [20] * 40 + [100] * 40 + [300] * 20
+    rows = [(1000 * k + j, " ".join(["w"] * n), f"s{k:03d}") for k in range(160) for j, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(8)
+    got = mixing.mix(docs, weights=(1.6, 0.4)).toPandas()
+    got["extra"] = got.copies - (got.target // got.source_size).astype(int)
+    assert set(got.extra) == {0, 1}
+    for (target, _), g in got.groupby([got.target.round(), "size"]):
+        assert g.chance.nunique() == 1 and g.extra.mean() == pytest.approx(g.chance.iloc[0], abs=0.05)
+    assert got.groupby("size").chance.mean().is_monotonic_increasing and got.chance.max() < 1
+    for _, g in got.groupby("source"):
+        rest = g.target.iloc[0] % g.source_size.iloc[0]
+        assert (g.chance * g["size"]).sum() == pytest.approx(rest, rel=1e-6)
+
+
+def test_certain_documents(spark):
+    rows = [(i, " ".join(["w"] * n), s) for i, (n, s) in enumerate([(1, "a")] * 60 + [(900, "a")] * 5 + [(10, "b")] * 20)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(95.0, 5.4)).toPandas()
+    a = got[got.source == "a"]
+    assert (a[a["size"] == 900].chance == 1).all() and (a[a["size"] == 900].copies == a.copies.max()).all() and 0 < a[a["size"] == 1].chance.iloc[0] < 1
+
+
 def test_components(spark):
     rng = random.Random(6)
     for edges in ([], [(1, 1), (None, 2)], [(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 200)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]):
