@@ -10,19 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, mixing, near_dedup, packing, quality
-from quern.plans.shared import written
-
-#: Ids that a join looks up by a broadcast table; beyond it, by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def _bounded(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+from quern.plans.shared import bounded, written
 
 
 def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
     """``docs`` without the rows whose id is in ``dropped(doc_id)``."""
-    return docs.join(_bounded(written(dropped.select("doc_id").distinct(), name)), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bounded(written(dropped.select("doc_id").distinct(), name)), "doc_id", "left_anti").select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +37,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
     copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies"))
-    both = docs.join(_bounded(written(copies, "pipeline-copies")), F.col("doc_id").eqNullSafe(F.col("of")))
+    both = docs.join(bounded(written(copies, "pipeline-copies")), F.col("doc_id").eqNullSafe(F.col("of")))
     return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(docs.columns)
 
 

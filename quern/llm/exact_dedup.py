@@ -2,7 +2,8 @@
 
 A text's bytes are cut into chunks; each chunk is hashed as a polynomial in two prime
 fields, and hash(ab) = hash(a) * base^len(b) + hash(b) puts chunks together, in any
-grouping. Texts whose fingerprint and length are equal are then compared chunk by chunk:
+grouping. A text of usual length is hashed in its row's task; the pieces of a huge one
+are dealt out, hashed in parallel, each shifted by the bytes after it, and summed. Texts whose fingerprint and length are equal are then compared chunk by chunk:
 within a fingerprint and a chunk number the least and the greatest chunk must be the
 same bytes. Minima and maxima are taken map-side first, so a group of any size leaves
 each task as one row a chunk.
@@ -19,15 +20,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import words
-from quern.plans.shared import small_batches, written
+from quern.plans.shared import bounded, small_batches, written
 
 #: Two primes below 2^31 and a base for each. Products with a byte stay below 2^39, so
 #: sums over a chunk are exact in doubles.
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_103_515_245, 1_566_083_941)
 CHUNK = 1 << 14
 COMPARE = 1 << 16
+#: Texts of more code points are hashed in pieces of so many bytes by many tasks.
+HUGE, PIECE = 1 << 22, 1 << 20
 #: Copies that are looked up by a broadcast table of ids; beyond it, by a shuffled join.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 _SPACE = frozenset(b" \t\n\v\f\r")
 
 
@@ -53,13 +56,19 @@ def combine(a: tuple[int, int], b: tuple[int, int], b_len: int) -> tuple[int, in
     return tuple((x * pow(base, b_len, p) + y) % p for x, y, base, p in zip(a, b, BASES, PRIMES, strict=True))
 
 
-def fingerprint(data: bytes) -> int:
-    """The chunks' polynomials combined, as one signed 64-bit integer."""
+def polynomials(data: bytes) -> tuple[int, int]:
+    """The chunks' polynomials combined."""
     h = 0, 0
     for at in range(0, len(data), CHUNK):
         part = data[at : at + CHUNK]
         h = combine(h, chunk_hash(part), len(part))
-    return (h[0] << 31 | h[1]) if data else 0
+    return h
+
+
+def fingerprint(data: bytes) -> int:
+    """The polynomials as one signed 64-bit integer."""
+    h = polynomials(data)
+    return h[0] << 31 | h[1]
 
 
 def normal(text: str) -> bytes:
@@ -73,6 +82,37 @@ def normal(text: str) -> bytes:
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """``doc_id, fp, n_bytes, text_sha256`` of the normal form of each row of ``documents(doc_id, text)``."""
+    d = documents.select("doc_id", "text")
+    huge = F.coalesce(F.length("text") > HUGE, F.lit(False))
+    long = d.where(huge)
+    if long.isEmpty():
+        return _in_one_task(d)
+    return _in_one_task(d.where(~huge)).unionByName(_in_pieces(long))
+
+
+def _in_pieces(documents: DataFrame) -> DataFrame:
+    """The same for huge texts, whose pieces are hashed by as many tasks as there are."""
+    body = _normal(F.col("text")).cast("binary")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", body.alias("body"))
+    rows = written(rows.withColumns({"n_bytes": F.length("body").cast("bigint"), "text_sha256": F.sha2("body", 256)}), "exact-huge")
+    places = F.sequence(F.lit(0), F.floor((F.col("n_bytes") - 1) / PIECE).cast("int"))
+    pieces = rows.select("row", "n_bytes", "body", F.explode(places).alias("n"))
+    piece = F.substring(F.col("body"), F.col("n") * PIECE + 1, F.lit(PIECE))
+    pieces = pieces.select("row", "n", F.greatest(F.lit(0).cast("bigint"), F.col("n_bytes") - (F.col("n") + 1) * PIECE).alias("after"), piece.alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.give_back()
+        for b in batches:
+            shifted = [combine(polynomials(x.as_py()), (0, 0), after) for x, after in zip(b.column("bytes"), b.column("after").to_pylist(), strict=True)]
+            yield pa.record_batch([b.column("row"), *[pa.array([h[k] for h in shifted], pa.int64()) for k in (0, 1)]], ["row", "a", "b"])
+
+    parts = pieces.repartition("row", "n").mapInArrow(run, "row bigint, a bigint, b bigint")
+    sums = parts.groupBy("row").agg(*[(F.sum(c) % p).alias(c) for c, p in zip("ab", PRIMES, strict=True)])
+    fp = F.col("a") * F.lit(1 << 31).cast("bigint") + F.col("b")
+    return rows.drop("body").join(sums, "row").select("doc_id", fp.alias("fp"), "n_bytes", "text_sha256")
+
+
+def _in_one_task(documents: DataFrame) -> DataFrame:
 
     small_batches(documents.sparkSession)
 
@@ -97,7 +137,7 @@ def _normal(text: Column) -> Column:
 
 def _unequal(documents: DataFrame, shared: DataFrame) -> DataFrame:
     """The ``fp, n_bytes`` of ``shared(doc_id, fp, n_bytes)`` whose texts are not all the same bytes."""
-    few = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    few = bounded(shared, BROADCAST_ROWS)
     body = _normal(F.col("text")).cast("binary")
     texts = documents.select(F.col("doc_id").alias("of"), "text").join(few, F.col("of").eqNullSafe(F.col("doc_id"))).select("fp", "n_bytes", body.alias("body"))
     chunk = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.length("body") - 1) / COMPARE).cast("int"))), lambda i: F.substring(F.col("body"), i * COMPARE + 1, COMPARE))
@@ -113,7 +153,8 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
     Of equal texts the row with the least doc_id stays. ``text_sha256`` is of the normal
     form in UTF-8.
 
-    A null text counts as empty, and empty texts are equal. Repeated rows of one id are
+    Huge texts are hashed in parallel and compared in chunks, as all are. A null text
+    counts as empty, and empty texts are equal. Repeated rows of one id are
     members of their group and all have ``kept`` true if that id is the least: ids should
     be unique. A null doc_id is least of all and its row stays. An empty table gives no
     rows. Other columns are ignored.

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest
 
 from quern.llm import words
-from quern.plans.shared import small_batches, written
+from quern.plans.shared import bounded, small_batches, written
 
 #: Fingerprints that a join looks up by a broadcast table; beyond it, by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def canonical(text: str) -> str:
@@ -158,10 +158,6 @@ def _with_next(documents: DataFrame, digest: Callable[[bytes], str] = xxh3_128_h
     return d.select("doc_id", "text", "at", "lent").mapInArrow(run, f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part string")
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _clashes(documents: DataFrame, twice: DataFrame, digest: Callable[[bytes], str]) -> list[str]:
     """The fingerprints of ``twice(fingerprint)`` that texts of different canonical bytes share.
 
@@ -173,7 +169,7 @@ def _clashes(documents: DataFrame, twice: DataFrame, digest: Callable[[bytes], s
             texts = [canonical(t.as_py() or "") for t in b.column("text")]
             yield pa.record_batch([pa.array([digest(t.encode()) for t in texts], pa.string()), pa.array(texts, pa.string())], ["fingerprint", "form"])
 
-    forms = documents.select("text").mapInArrow(run, "fingerprint string, form string").join(_bounded(twice), "fingerprint", "left_semi")
+    forms = documents.select("text").mapInArrow(run, "fingerprint string, form string").join(bounded(twice, BROADCAST_ROWS), "fingerprint", "left_semi")
     forms = forms.groupBy("fingerprint", "form").agg(F.lit(1).alias("one"))
     return [r["fingerprint"] for r in forms.groupBy("fingerprint").count().where("count > 1").select("fingerprint").collect()]
 
@@ -197,7 +193,7 @@ def with_groups(documents: DataFrame, digest: Callable[[bytes], str] = xxh3_128_
     groups = written(groups.where("group_size > 1"), "canonical-groups")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id")
     columns = [c for c in rows.columns if c != "part"]
-    return rows.join(_bounded(groups), by, "left").select(*columns, keep, F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"))
+    return rows.join(bounded(groups, BROADCAST_ROWS), by, "left").select(*columns, keep, F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

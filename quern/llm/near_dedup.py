@@ -25,7 +25,7 @@ from xxhash import xxh3_128_digest
 
 from quern.llm import words
 from quern.llm.components import connected_components
-from quern.plans.shared import small_batches, written
+from quern.plans.shared import bounded, small_batches, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with a chance of (1 - 0.8^5)^24 = 7e-5.
@@ -34,7 +34,7 @@ REGISTERS = BANDS * ROWS
 #: Documents and shingles a block of the comparison of what the leaders left open.
 BLOCK, BLOCK_SHINGLES = 128, 500_000
 #: Candidates that are looked up by a broadcast table of ids; beyond it, by a shuffled join.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 _MULTIPLY = words.mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,7 +158,7 @@ def _sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
                     ["rep", "n", "uniform", "g", "w"],
                 )
 
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    few = bounded(ids, BROADCAST_ROWS)
     texts = documents.select("doc_id", "text").join(few, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text")
     return written(texts.mapInArrow(run, f"rep {id_type}, n bigint, uniform boolean, g binary, w binary").distinct(), "near-sets")
 

@@ -71,6 +71,14 @@ def test_packing(spark, docs):
         assert at == len(ids)
 
 
+def test_buckets_of_one_length(spark, tmp_path):
+    pieces = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"))
+    packing.write_buckets(pieces, f"file://{tmp_path}/buckets")
+    back = spark.read.parquet(f"file://{tmp_path}/buckets").selectExpr("sequence_id", "length", "octet_length(ids) / 2 as n").collect()
+    assert len(back) == pieces.count() and all(r.n == r.length for r in back)
+    assert {p.name for p in (tmp_path / "buckets").iterdir() if p.is_dir()} == {f"length={r.length}" for r in back}
+
+
 def test_fingerprints(spark, docs):
     def fp(t):
         return xxhash.xxh3_128_hexdigest(" ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split()).encode())
@@ -130,6 +138,16 @@ def test_polynomials_combine():
     assert exact_dedup.fingerprint(data) >> 31 == slow
 
 
+def test_huge_texts_are_hashed_in_parallel(spark, odd, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    want = sorted(map(str, exact_dedup.fingerprints(docs).collect()))
+    groups = sorted(map(str, exact_dedup.exact_duplicates(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "HUGE", 5)
+    monkeypatch.setattr(exact_dedup, "PIECE", 1000)
+    assert sorted(map(str, exact_dedup.fingerprints(docs).collect())) == want
+    assert sorted(map(str, exact_dedup.exact_duplicates(docs).collect())) == groups
+
+
 def test_exact_dedup_with_equal_fingerprints(spark, odd, monkeypatch):
     rows = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(odd).collect()}
     assert rows == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 2, True), (4, 4, 1, True), (5, 5, 1, True), (None, None, 1, True)}
