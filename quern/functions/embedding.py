@@ -20,25 +20,27 @@ from quern.functions.hashing import OFFSET, PRIME, fnv1a_bytes
 
 DIMENSION, MODEL = 128, "model-v1"
 WORD_WEIGHT, GRAM_WEIGHT = 2.0, 0.25
-#: Words of one line stand for one another; those after the bar are only ever the other.
-_KIN = ("constructor move ownership transfer", "acquisition initialization raii resource", "concurrent exclusion mutex mutual", "polymorphism virtual | function")
+#: The built-in model's word table, for vectors equal to those it is measured against.
+RELATED = {
+    "transfer": ["move", "ownership", "constructor"],
+    "ownership": ["move", "transfer", "constructor"],
+    "move": ["transfer", "ownership", "constructor"],
+    "constructor": ["transfer", "ownership", "move"],
+    "raii": ["resource", "acquisition", "initialization"],
+    "resource": ["raii", "acquisition", "initialization"],
+    "acquisition": ["raii", "resource", "initialization"],
+    "initialization": ["raii", "resource", "acquisition"],
+    "virtual": ["polymorphism", "function"],
+    "polymorphism": ["virtual", "function"],
+    "mutex": ["mutual", "exclusion", "concurrent"],
+    "mutual": ["mutex", "exclusion", "concurrent"],
+    "exclusion": ["mutex", "mutual", "concurrent"],
+    "concurrent": ["mutex", "mutual", "exclusion"],
+}
 _ENDINGS = ("ing", "es", "s", "ed")
 _TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
-def related() -> dict[str, list[str]]:
-    """For each key word the terms it brings in."""
-    out = {}
-    for line in _KIN:
-        keys, _, others = line.partition("|")
-        for k in keys.split():
-            out[k] = [w for w in (keys + others).split() if w != k]
-    return out
-
-
-_RELATED = related()
-
-
 def stem(word: str) -> str:
     """A word without the first of its inflections that leaves anything."""
     return next((word[: -len(e)] for e in _ENDINGS if word.endswith(e) and len(word) > len(e)), word)
@@ -67,7 +69,7 @@ class HashingProvider(EmbeddingProvider):
         found = self._known.get(word)
         if found is None:
             found = []
-            for w in (word, *_RELATED.get(stem(word), ())):
+            for w in (word, *RELATED.get(stem(word), ())):
                 h = fnv1a_bytes(w.encode())
                 found.append((h % self.dimension, WORD_WEIGHT if h >> 63 else -WORD_WEIGHT))
             if len(self._known) > 200_000:
@@ -134,7 +136,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similarity_to(text: Column, query: str, provider: EmbeddingProvider | None = None) -> Column:
-    """Cosine of a text column with a constant, which is embedded once, here."""
+    """Cosine of a text column with a constant, which is embedded once, here.
+
+    A condition on the column stays above it, so that the model runs once a row.
+    """
     provider = provider or HashingProvider()
     q = provider.embed([query])[0]
 
@@ -142,7 +147,7 @@ def similarity_to(text: Column, query: str, provider: EmbeddingProvider | None =
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(np.concatenate([provider.embed([t or "" for t in texts.iloc[a : a + 512]]) @ q for a in range(0, len(texts), 512)]))
 
-    return score(text)
+    return score.asNondeterministic()(text)
 
 
 def register_sql(spark: SparkSession, provider: EmbeddingProvider | None = None) -> None:

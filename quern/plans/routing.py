@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import heapq
+import functools
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.embedding import EmbeddingProvider, HashingProvider, similarity_to
-from quern.plans.shared import written
+from quern.functions.embedding import EmbeddingProvider, HashingProvider, embed_column, similarity_to
+from quern.operators.vectors import numbered as ranked
+from quern.plans.shared import small_batches, written
 
 CANDIDATES = 64
 VECTOR_FUNCTIONS = frozenset(("similarity", "vector_search"))
@@ -40,68 +42,73 @@ def route(spark: SparkSession, sql: str) -> str:
     return "vector" if _functions(plan) & VECTOR_FUNCTIONS else "table"
 
 
-def hybrid_search(rows: DataFrame, text: str, query: str, threshold: float, where: str | None = None, limit: int | None = None, candidates: int | None = None, provider: EmbeddingProvider | None = None) -> DataFrame:
-    """Rows whose text is like a query, best first, with ``score``.
+def hybrid_search(rows: DataFrame, text: str, query: str, threshold: float, where: str | None = None, limit: int | None = None, candidates: int | None = None, provider: EmbeddingProvider | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Rows whose text is like a query, best first, with ``score``; ties by the columns ``by``.
 
     The structured condition is applied first. With ``candidates`` it is applied to the
     best so many of all rows instead.
     """
+    order = [F.desc("score"), *by]
     scored = (rows if candidates or not where else rows.where(where)).withColumn("score", similarity_to(F.col(text), query, provider))
     if candidates:
-        scored = scored.orderBy(F.desc("score")).limit(candidates)
+        scored = scored.orderBy(*order).limit(candidates)
         scored = scored.where(where) if where else scored
-    out = scored.where(F.col("score") >= threshold).orderBy(F.desc("score"))
+    out = scored.where(F.col("score") >= threshold).orderBy(*order)
     return out.limit(limit) if limit is not None else out
 
 
 def search_many(documents: DataFrame, queries: DataFrame, k: int, provider: EmbeddingProvider | None = None, block: int = 1_000) -> DataFrame:
     """The ``k`` documents most like each query: ``item_id, doc_id, score``.
 
-    ``documents(doc_id, text)`` are embedded once. Queries ``(item_id, text)`` meet them
-    in blocks of bounded size; each task keeps its best ``k`` a query, and those are
-    merged. Scores are compared to nine decimals, ties by doc_id.
+    ``documents(doc_id, text)`` are embedded once, to a written table. Queries
+    ``(item_id, text)`` meet the vectors in blocks of bounded size; each task keeps its
+    best ``k`` a query, and those are merged. Scores are compared to nine decimals, ties
+    by doc_id, null first. Ids may be of any ordered type.
     """
     provider = provider or HashingProvider()
     count = queries.count()
     spark = documents.sparkSession
+    small_batches(spark)
+    kinds = queries.schema["item_id"].dataType.simpleString(), documents.schema["doc_id"].dataType.simpleString()
+    schema = f"item_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    blocks = max(1, -(-count // block))
+    numbered = written(queries.select("item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "search-queries")
+    vectors = written(embed_column(documents.select("doc_id", "text"), "text", provider).select("doc_id", "vector"), "search-vectors")
     parts = []
-    numbered = written(queries.select("item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-count // block))))), "search-queries")
-    for b in range(max(1, -(-count // block))):
+    for b in range(blocks):
         rows = numbered.where(F.col("block") == b).orderBy("item_id").collect()  # about ``block`` rows
         if not rows:
             continue
-        known = spark.sparkContext.broadcast(([r["item_id"] for r in rows], provider.embed([r["text"] or "" for r in rows])))
+        known = spark.sparkContext.broadcast(provider.embed([r["text"] or "" for r in rows]))
+        items = pa.array([r["item_id"] for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch], known=known, items=items) -> Iterator[pa.RecordBatch]:
+            q = known.value
+            held, least = [], np.full(len(q), -np.inf)
+
+            def best(held: list[pa.Table]) -> pa.Table:
+                t = pa.concat_tables(held)
+                t = t.take(pc.sort_indices(t, sort_keys=[("query", "ascending"), ("score", "descending"), ("doc_id", "ascending")], null_placement="at_start"))
+                of = t.column("query").to_numpy()
+                rank = np.arange(len(of)) - np.searchsorted(of, of, "left")
+                full = rank == k - 1
+                least[of[full]] = t.column("score").to_numpy()[full]
+                return t.filter(pa.array(rank < k))
 
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            items, q = known.value
-            best: list[list[tuple[float, int]]] = [[] for _ in items]
             for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                for a in range(0, len(ids), 512):
-                    scores = np.round(provider.embed([t or "" for t in batch.column("text").slice(a, 512).to_pylist()]) @ q.T, 9)
-                    for j, held in enumerate(best):
-                        column = scores[:, j]
-                        pick = np.argpartition(-column, min(k, len(column) - 1))[: k + 1] if len(column) > k else np.arange(len(column))
-                        edge = column[pick].min() if len(pick) else 0
-                        for i in np.flatnonzero(column >= edge) if len(column) > k else pick:
-                            x = (float(column[i]), -ids[a + i])
-                            if len(held) < k:
-                                heapq.heappush(held, x)
-                            elif x > held[0]:
-                                heapq.heapreplace(held, x)
-            rows = [(item, -d, s) for item, held in zip(items, best, strict=True) for s, d in held]
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["item_id", "doc_id", "score"])
-
-        parts.append(documents.select("doc_id", "text").mapInArrow(run, "item_id bigint, doc_id bigint, score double"))
+                x = np.asarray(batch.column("vector").flatten()).reshape(batch.num_rows, -1)
+                scores = np.round(x @ q.T, 9)
+                i, j = np.nonzero(scores >= least)
+                held.append(pa.table({"query": j, "score": scores[i, j], "doc_id": batch.column("doc_id").take(pa.array(i))}))
+                held = [best(held)]
+            for batch in held[0].to_batches(10_000) if held else ():
+                yield pa.record_batch([items.take(batch.column("query")), batch.column("doc_id"), batch.column("score")], ["item_id", "doc_id", "score"])
+
+        parts.append(vectors.mapInArrow(run, schema))
     if not parts:
-        return spark.createDataFrame([], "item_id bigint, doc_id bigint, score double")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    from quern.operators.vectors import numbered as ranked
-
-    return ranked(hits, "item_id", F.desc("score"), "doc_id").where(F.col("rank") <= k).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+        return spark.createDataFrame([], schema)
+    hits = functools.reduce(DataFrame.unionByName, parts)
+    return ranked(hits, "item_id", F.desc("score"), F.asc_nulls_first("doc_id")).where(F.col("rank") <= k).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 class ResultCache:

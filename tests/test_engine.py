@@ -7,8 +7,8 @@ import pytest
 from quern.functions.embedding import HashingProvider
 from quern.operators import lifecycle, relational, vectors
 from quern.operators.incremental import Engine
-from quern.plans.routing import ResultCache, hybrid_search
-from quern.sources.tables import Tables, read_csv, read_texts
+from quern.plans.routing import ResultCache, hybrid_search, search_many
+from quern.sources.tables import Step, Tables, read_csv, read_texts
 from quern.streaming.ingest import apply_batch, start
 from tests.test_functions import QA, Q1, Q2
 
@@ -111,6 +111,91 @@ def test_any_sequence_ends_as_a_fresh_ingest(spark, engine, tmp_path):
         assert a == b, name
 
 
+class Broken(Exception):
+    pass
+
+
+def tables_of(engine):
+    return {n: sorted(map(str, engine.tables.open(n).collect())) for n in ("sources", "chunks", "vectors", "model")}
+
+
+def test_a_step_that_breaks_off_leaves_no_trace(spark, engine, tmp_path, monkeypatch):
+    engine.ingest(docs(spark, [(i, text(i)) for i in range(6)]))
+    before, part, commit = tables_of(engine), Step._part, Tables._commit
+    new = docs(spark, [(0, text(0, True)), (1, "short"), (7, text(7))])
+    steps = {"update": lambda: engine.update(new.where("document_id < 7")), "ingest": lambda: engine.ingest(new), "delete": lambda: engine.delete(docs(spark, [(2, "")])), "migrate": lambda: engine.migrate(HashingProvider("model-v2"))}
+    for name, run in steps.items():
+        for at in range(20):
+            calls = []
+
+            def write(self, *a, calls=calls, at=at):
+                calls.append(a)
+                if len(calls) > at:
+                    raise Broken
+                return part(self, *a)
+
+            def half(self, number, state):
+                fs, p = self._fs(self._log_path(number))
+                out = fs.create(p, False)
+                out.write(bytearray(b'{"sources": {'))
+                out.close()
+                raise Broken
+
+            monkeypatch.setattr(Step, "_part", write)
+            monkeypatch.setattr(Tables, "_commit", half)
+            with pytest.raises(Broken):
+                run()
+            assert tables_of(engine) == before, (name, at)
+            if len(calls) <= at:  # it broke off in the log itself
+                break
+        assert at >= 2
+    monkeypatch.setattr(Step, "_part", part)
+    monkeypatch.setattr(Tables, "_commit", commit)
+    engine.ingest(new)
+    assert state(engine)[1] == {0: (2, "Stale"), 1: (2, "Stale"), 7: (1, "Active")} | {i: (1, "Active") for i in range(2, 6)}
+    again = Engine(spark, engine.tables.root)
+    assert tables_of(again) == tables_of(engine)
+
+
+def test_two_steps_at_once(spark, tmp_path):
+    t = Tables(spark, f"file://{tmp_path}/t")
+    df = spark.createDataFrame([(1, "a")], "id bigint, name string")
+    t.replace("x", df)
+    with pytest.raises(Exception, match="exists"), t.step() as late:
+        t.append("x", df)
+        late.append("x", df)
+    assert t.open("x").count() == 2
+
+
+def test_writes_follow_the_changes(spark, engine):
+    engine.ingest(docs(spark, [(i, text(i)) for i in range(400)]))
+    for percent in (1, 5, 10):
+        old = {p["path"] for m in engine.tables.state()[1].values() for p in m["parts"]}
+        n = 4 * percent
+        r = engine.update(docs(spark, [(i, text(i) + f" {percent}" * (i < n)) for i in range(400)])).first()
+        new = {name: sum(p["rows"] for p in m["parts"] if p["path"] not in old) for name, m in engine.tables.state()[1].items()}
+        assert (r.generated, r.skipped) == (n, 2000 - n)
+        assert new == {"sources": n, "chunks": 5 * n, "vectors": n, "model": 0}
+        assert (engine.sources.count(), engine.chunks.count(), engine.vectors.count()) == (400, 2000, 2000)
+
+
+def test_upserts_are_put_together_and_old_data_goes(spark, tmp_path, monkeypatch):
+    from quern.sources import tables
+
+    monkeypatch.setattr(tables, "MOST_PARTS", 5)
+    t = Tables(spark, f"file://{tmp_path}/t")
+    t.replace("x", spark.createDataFrame([(i, 0) for i in range(50)], "id bigint, n bigint"))
+    for n in range(1, 6):
+        rows = spark.createDataFrame([(i, n) for i in range(n)], "id bigint, n bigint")
+        t.upsert("x", rows, rows.select("id"), ["id"])
+        want = {i: max([k for k in range(1, n + 1) if i < k], default=0) for i in range(50)}
+        assert {r.id: r.n for r in t.open("x").collect()} == want and t.info("x")["rows"] == 50
+        assert len(t.state()[1]["x"]["parts"]) <= 5
+    with pytest.raises(ValueError):
+        t.upsert("x", rows, rows.select("n"), ["n"])
+    assert t.vacuum(keep=1) > 0 and {r.id: r.n for r in t.open("x").collect()} == want and t.version("x") == 6
+
+
 def test_vectors(spark):
     schema = "document_id bigint, chunk_id int, source_version bigint, model_id string, vector array<double>"
     v = spark.createDataFrame([(1, 0, 1, "m", [1.0, 0.0]), (1, 1, 1, "m", [0.0, 1.0]), (1, 2, 1, "m", [0.8, 0.6])], schema)
@@ -177,6 +262,16 @@ def test_hybrid_and_cache(spark):
     cache.clear()
 
 
+def test_search_of_many(spark):
+    rows = [("b", "alpha beta"), ("a", "alpha beta"), (None, "alpha beta"), ("c", None), ("d", "gamma")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, None)], "item_id bigint, text string")
+    for block in (1, 1000):
+        got = [(r.item_id, r.doc_id) for r in search_many(d, q, 2, block=block).collect()]
+        assert len(got) == 6 and {(1, None), (1, "a"), (2, "d")} <= set(got)
+    assert search_many(d, q.limit(0), 2).count() == 0 and search_many(d.limit(0), q, 2).count() == 0
+
+
 def test_stream(spark, engine, tmp_path):
     schema = "document_id bigint, seq bigint, content string"
     batch = spark.createDataFrame([(1, 1, "old"), (1, 2, "new\n\ntext"), (2, 1, "x"), (3, 1, None)], schema)
