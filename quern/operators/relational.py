@@ -14,9 +14,17 @@ def scan(df: DataFrame, columns: list[str] | None = None, where: Column | str |
     return df.select(*columns) if columns else df
 
 
-def aggregate(df: DataFrame, aggregates: list[tuple[str, str, str | None]], group_by: list[str] | None = None) -> DataFrame:
+def _fixed(column: Column, digits: int) -> Column:
+    """A number as a whole number of its last decimal place."""
+    return F.floor(column * float(10**digits) + 0.5).cast("bigint")
+
+
+def aggregate(df: DataFrame, aggregates: list[tuple[str, str, str | None]], group_by: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """``(function, column or *, name)`` by the group columns; the name is ``FUNC(col)`` by default.
 
+    With ``digits`` sums and means are those of fixed-point numbers with so many decimal
+    places: exact, so that the order in which partitions arrive makes no difference.
+
     Without group columns there is one row, also for an empty input. Without aggregates
     the distinct groups are returned.
     """
@@ -27,6 +35,10 @@ def aggregate(df: DataFrame, aggregates: list[tuple[str, str, str | None]], grou
         if column == "*" and name.upper() != "COUNT":
             raise ValueError("* is for COUNT only")
         f = AGGREGATES[name.upper()]
+        if digits is not None and name.upper() in ("SUM", "AVG"):
+            total = F.sum(_fixed(F.col(column), digits)).cast("double") / float(10**digits)
+            columns.append((total / F.count(column) if name.upper() == "AVG" else total).alias(alias or f"{name.upper()}({column})"))
+            continue
         columns.append(f(F.lit(1) if column == "*" else F.col(column)).alias(alias or f"{name.upper()}({column})"))
     if not columns:
         return df.select(*group_by).distinct()

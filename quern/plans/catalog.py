@@ -33,9 +33,9 @@ def query(sql: str | None = None):
 # --- scans, projections, filters ---
 
 
-@query("SELECT * FROM nation")
+@query("SELECT * FROM lineitem")
 def scan_all(spark, sf):
-    return relational.scan(tables.load(spark, sf, "nation"))
+    return relational.scan(tables.load(spark, sf, "lineitem"))
 
 
 @query("SELECT count(*) AS n FROM lineitem")
@@ -77,16 +77,24 @@ _filter("filter_timestamp", "orders", ["o_orderkey", "o_orderdate"], "o_orderdat
 # --- aggregates ---
 
 
+#: Decimal places of the tables' amounts.
+DIGITS = 2
+
+
+def _sql_fixed(f: str, c: str) -> str:
+    """A sum or mean of fixed-point numbers, another aggregate as it is."""
+    total = f"sum(floor({c} * 100.0::double + 0.5::double)::bigint)::double / 100.0::double"
+    return {"SUM": total, "AVG": f"{total} / count({c})"}.get(f, f"{f}({c})")
+
+
 def _aggregate(name: str, table: str, aggs: list[tuple[str, str, str]], by: list[str] | None, where: str | None = None) -> None:
-    """Sums and means of doubles are rounded: their order is free."""
-    soft = {n for f, c, n in aggs if f in ("SUM", "AVG")}
+    """Sums and means are of fixed-point numbers, as the tables' are: exact in any order."""
 
     def run(spark, sf):
-        df = relational.aggregate(relational.scan(tables.load(spark, sf, table), where=where), aggs, by)
-        return df.select([F.round(c, 2).alias(c) if c in soft else col(c) for c in df.columns])
+        return relational.aggregate(relational.scan(tables.load(spark, sf, table), where=where), aggs, by, DIGITS)
 
     run.__name__ = name
-    picks = [*(by or []), *[f"round({f}({c}), 2) AS {n}" if n in soft else f"{f}({c}) AS {n}" for f, c, n in aggs]]
+    picks = [*(by or []), *[f"{_sql_fixed(f, c)} AS {n}" for f, c, n in aggs]]
     query(f"SELECT {'' if aggs else 'DISTINCT '}{', '.join(picks)} FROM {table}{f' WHERE {where}' if where else ''}{' GROUP BY ' + ', '.join(by) if by and aggs else ''}")(run)
 
 
@@ -105,10 +113,10 @@ _aggregate("agg_count_string", "customer", [("COUNT", "c_name", "n"), ("MIN", "c
 _aggregate("agg_empty_global", "customer", [("COUNT", "*", "n"), ("SUM", "c_acctbal", "total"), ("MIN", "c_acctbal", "lo")], None, "c_acctbal > 1e12")
 
 
-@query("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag")
+@query(f"SELECT l_returnflag, {_sql_fixed('SUM', 'l_extendedprice')} AS revenue, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag")
 def pipeline_combined(spark, sf):
     kept = relational.scan(tables.load(spark, sf, "lineitem"), ["l_returnflag", "l_extendedprice"], col("l_quantity") > 10)
-    return relational.aggregate(kept, [("SUM", "l_extendedprice", "revenue"), ("COUNT", "*", "n")], ["l_returnflag"]).withColumn("revenue", F.round("revenue", 2))
+    return relational.aggregate(kept, [("SUM", "l_extendedprice", "revenue"), ("COUNT", "*", "n")], ["l_returnflag"], DIGITS)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
@@ -139,6 +147,13 @@ def csv_load(spark, sf):
     return tables.read_csv(spark, path)
 
 
+@query("SELECT c_custkey, c_name, c_nationkey::bigint AS c_nationkey, c_mktsegment, c_acctbal FROM customer")
+def csv_load_full(spark, sf):
+    path = fresh_path(spark, "csv")
+    tables.load(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal").write.option("header", True).csv(path)
+    return tables.read_csv(spark, path, sample=None)
+
+
 @query("SELECT count(*) AS files, sum(length(r_name) + 1)::bigint AS chars FROM region")
 def text_ingest(spark, sf):
     path = fresh_path(spark, "texts")
@@ -161,6 +176,23 @@ def table_info(spark, sf):
     return spark.createDataFrame([(i["name"], len(i["columns"]), i["rows"], i["version"])], "name string, columns bigint, row_count bigint, version int")
 
 
+@query("""SELECT 'nation' AS name, 3::bigint AS version, (SELECT 2 * count(*) FROM nation) AS row_count UNION ALL SELECT 'part', 2, (SELECT count(*) FROM part WHERE p_size > 25)
+  UNION ALL SELECT 'region', 0, 0""")
+def table_manager(spark, sf):
+    kept = tables.Tables(spark, fresh_path(spark, "tables"))
+    nation, part = tables.load(spark, sf, "nation"), tables.load(spark, sf, "part").select("p_partkey", "p_size")
+    with kept.step() as step:
+        step.create("region", tables.load(spark, sf, "region").schema)
+        step.replace("nation", nation)
+        step.replace("part", part)
+    kept.append("nation", nation.where("n_nationkey % 2 = 0"))
+    with kept.step() as step:
+        step.append("nation", nation.where("n_nationkey % 2 = 1"))
+        step.upsert("part", part.limit(0), part.where("p_size <= 25"), ["p_partkey"])
+    rows = [(n, kept.version(n), kept.open(n).count()) for n in kept.names()]
+    return spark.createDataFrame(rows, "name string, version bigint, row_count bigint")
+
+
 # --- hashes, chunks, lifecycle ---
 
 _BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda p: ('0x' || p)::hugeint)"
@@ -259,6 +291,22 @@ def incremental_report(spark, sf):
     return lifecycle.work_report(lifecycle.chunk_diff(chunking.chunk_documents(_conversations(spark, sf)), chunking.chunk_documents(_revised(spark, sf))))
 
 
+_SHARES = (1, 5, 10, 50, 100)
+
+
+@query(f"""WITH o AS ({_sql_chunks(_SQL_CONV)}), s AS (SELECT unnest({list(_SHARES)}) AS percent), v AS (SELECT percent, document_id, chunk_id, document_id % 100 < percent AND chunk_id = 1 AS made FROM o, s)
+  SELECT percent::int AS percent, count(*) AS naive, sum(made::int)::bigint AS incremental, round((1 - sum(made::int) / count(*)) * 100, 4) AS work_avoided FROM v GROUP BY 1""")
+def naive_vs_incremental(spark, sf):
+    """Chunks to embed when the second chunk of some percent of all documents changes: all of them, or those that changed."""
+    old = chunking.chunk_documents(_conversations(spark, sf))
+    shares = spark.createDataFrame([(p,) for p in _SHARES], "percent int")
+    hit = (col("document_id") % 100 < col("percent")) & (col("chunk_id") == 1)
+    new = old.crossJoin(F.broadcast(shares)).withColumn("content_hash", F.when(hit, F.concat(lit("new "), "content_hash")).otherwise(col("content_hash")))
+    diff = lifecycle.chunk_diff(old, new).withColumn("made", (col("action") == "Process").cast("bigint"))
+    report = diff.groupBy("percent").agg(F.count(lit(1)).alias("naive"), F.sum("made").alias("incremental"))
+    return report.withColumn("work_avoided", F.round((1 - col("incremental") / col("naive")) * 100, 4))
+
+
 @query("SELECT doc_id AS document_id, min(doc_id) OVER (PARTITION BY text) AS canonical, doc_id <> min(doc_id) OVER (PARTITION BY text) AS is_duplicate FROM documents")
 def exact_dedup_outcome(spark, sf):
     h = lifecycle.hashed(_documents(spark, sf))
@@ -351,7 +399,7 @@ def vector_roundtrip(spark, sf):
 
 # --- embeddings and similarity ---
 
-_REL = ", ".join(f"('{k}', '{x}')" for k, v in embedding.related().items() for x in v)
+_REL = ", ".join(f"('{k}', '{x}')" for k, v in embedding.RELATED.items() for x in v)
 
 
 def _sql_embed(source: str) -> str:
@@ -413,6 +461,23 @@ def semantic_search_documents(spark, sf):
     return routing.search_many(tables.load(spark, sf, "documents").selectExpr("doc_id", "text"), tables.load(spark, sf, "benchmark").selectExpr("item_id", "text"), 3)
 
 
+_SQL_BEST = "SELECT id AS doc_id, round(score, 6) AS score FROM sim JOIN documents ON doc_id = id"
+
+
+@query(f"{_SQL_SCORES} {_SQL_BEST} WHERE lang = 'en' AND score >= 0.25 ORDER BY sim.score DESC, 1 LIMIT 20")
+def routed_search(spark, sf):
+    """A query with a condition, a threshold and a limit: the condition first, then the vectors."""
+    found = routing.hybrid_search(tables.load(spark, sf, "documents").select("doc_id", "text", "lang"), "text", _Q, 0.25, "lang = 'en'", 20, by=["doc_id"])
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"{_SQL_SCORES} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM sim ORDER BY score DESC, id LIMIT 64) JOIN documents ON doc_id = id WHERE lang = 'en' AND score >= 0.2")
+def routed_search_candidates(spark, sf):
+    """The same with the condition applied to the 64 best."""
+    found = routing.hybrid_search(tables.load(spark, sf, "documents").select("doc_id", "text", "lang"), "text", _Q, 0.2, "lang = 'en'", candidates=routing.CANDIDATES, by=["doc_id"])
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 # --- the engine ---
 
 
@@ -442,6 +507,21 @@ def engine_delete(spark, sf):
     return e.delete(_conversations(spark, sf).where("document_id % 7 = 0").select("document_id"))
 
 
+@query(f"SELECT 1 AS step, count(*) AS migrated, 0::bigint AS skipped FROM ({_sql_chunks(_SQL_CONV)}) UNION ALL SELECT 2, 0, count(*) FROM ({_sql_chunks(_SQL_CONV)})")
+def engine_migrate(spark, sf):
+    e, _ = _engine(spark, sf)
+    first, again = (e.migrate(embedding.HashingProvider("model-v2")) for _ in range(2))
+    return first.select(lit(1).alias("step"), "*").unionByName(again.select(lit(2).alias("step"), "*"))
+
+
+@query(f"""WITH ch AS ({_sql_chunks(_SQL_CONV)}), {_sql_embed(f"SELECT document_id * 10000 + chunk_id AS id, content AS t FROM ch UNION ALL SELECT -1, '{_Q}'")}
+  SELECT document_id, chunk_id, content, round(score, 6) AS score FROM (SELECT a.id, sum(a.v * b.v) AS score FROM emb a JOIN emb b ON a.idx = b.idx AND b.id = -1 WHERE a.id >= 0 GROUP BY 1)
+  JOIN ch ON id = document_id * 10000 + chunk_id ORDER BY round(score, 9) DESC, 1, 2 LIMIT 10""")
+def search_chunk_text(spark, sf):
+    e, _ = _engine(spark, sf)
+    return e.search(_Q, 10).select("document_id", "chunk_id", "content", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT document_id, chunk_id, content FROM ({_sql_chunks(_SQL_CONV)})")
 def engine_roundtrip(spark, sf):
     e, _ = _engine(spark, sf)

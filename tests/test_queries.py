@@ -28,3 +28,9 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_structured_condition_runs_before_the_model(spark):
     plan = catalog.QUERIES["hybrid_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and plan.index("ArrowEvalPython") < plan.index("EqualTo(lang,en)")
+
+
+@pytest.mark.parametrize("name", ["similarity_filter", "hybrid_filter", "vector_search_clause", "routed_search"])
+def test_the_model_runs_once_a_row(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
