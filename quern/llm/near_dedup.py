@@ -31,8 +31,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with a chance of (1 - 0.8^5)^24 = 7e-5.
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Documents and shingles a block of the comparison of what the leaders left open.
-BLOCK, BLOCK_SHINGLES = 128, 500_000
+#: Documents (between an eighth of a group, the least and the most) and shingles a block
+#: of the comparison of what the leaders left open, on average.
+BLOCK, LEAST_BLOCK, BLOCK_SHINGLES = 512, 128, 1_000_000
 #: Candidates that are looked up by a broadcast table of ids; beyond it, by a shuffled join.
 BROADCAST_ROWS = 200_000
 _MULTIPLY = words.mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -260,7 +261,7 @@ def _settled(members: DataFrame, sets: DataFrame, links: DataFrame, threshold: f
     left = written(left.join(sets, "rep"), "near-open-sets")
     sizes = left.groupBy("part", "class").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
     main = sizes.groupBy("part").agg(F.max(F.struct("size", "class"))["class"].alias("main"), F.sum("size").alias("all"), F.sum("n").alias("all_n"))
-    main = written(main.withColumn("blocks", F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("all_n") / BLOCK_SHINGLES)).cast("int")), "near-main")
+    main = written(main.withColumn("blocks", F.greatest(F.ceil(F.col("all") / F.least(F.lit(float(BLOCK)), F.greatest(F.lit(float(LEAST_BLOCK)), F.col("all") / 8))), F.ceil(F.col("all_n") / BLOCK_SHINGLES)).cast("int")), "near-main")
     more = _compared(left.join(main.select("part", "main", "blocks"), "part"), threshold)
     return _classes(classes.selectExpr("rep as a", "class as b").unionByName(more), "near-classes")
 

@@ -50,6 +50,51 @@ def test_all_pairs(spark):
     assert len(set(got.values())) < len(docs)
 
 
+def pairs_alike(docs, least=0.7):
+    """All pairs of different shingle sets with their likeness, where that is ``least`` or more.
+
+    A pair that alike shares one of the rarest of its shingles; which those are follows
+    from the overlap that the likeness needs, with room for weights.
+    """
+    sets, first = {}, {}
+    for i, t in docs:
+        x = shingles(t)
+        if x and first.setdefault(frozenset(x.items()), i) == i:
+            sets[i] = x
+    df = Counter(g for x in sets.values() for g in x)
+    at, out = {}, {}
+    for i, x in sets.items():
+        rare = sorted(x, key=lambda g: (df[g], g))[: int((1 - least * 0.6) * len(x)) + 1]
+        for j in {j for g in rare for j in at.get(g, ())}:
+            y = sets[j]
+            if min(len(x), len(y)) >= 0.5 * max(len(x), len(y)):
+                s = likeness(x, y) if len(x.keys() & y.keys()) >= 0.4 * max(len(x), len(y)) else 0
+                if s >= least:
+                    out[j, i] = s
+        for g in rare:
+            if df[g] > 1:
+                at.setdefault(g, []).append(i)
+    return out
+
+
+def recall_by_band(spark, sf):
+    """Pairs of each band of likeness, and those of them in one class."""
+    docs = duckdb.sql(f"select doc_id, coalesce(text, '') from '{sf}/documents.parquet' order by 1").fetchall()
+    got = {r.doc_id: r.class_id for r in nd.op5_near_dedup(spark, sf).collect()}
+    out = {}
+    for (i, j), s in pairs_alike(docs).items():
+        band = out.setdefault(math.floor(s * 20 + 1e-9) / 20, [0, 0])
+        band[0] += 1
+        band[1] += got[i] == got[j]
+    return dict(sorted(out.items()))
+
+
+def test_recall_by_band(spark):
+    bands = recall_by_band(spark, "/root/testdata/sf0.01")
+    assert sum(n for b, (n, _) in bands.items() if b >= 0.8) >= 5
+    assert all(hit >= 0.99 * n for b, (n, hit) in bands.items() if b >= 0.8)
+
+
 def test_a_hot_bucket(spark):
     rng = random.Random(3)
     base = [f"w{k}" for k in range(150)]
