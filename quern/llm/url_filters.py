@@ -18,6 +18,10 @@ from quern.llm.components import connected_components
 from quern.plans.shared import written
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Patterns of entities in attributes, in the order they are put back.
+ENTITIES = (("&(?:quot|#34|#x22);", '"'), ("&(?:apos|#39|#x27);", "'"), ("&(?:#47|#x2f|sol);", "/"), ("&(?:amp|#38|#x26);", "&"))
+#: ``rel`` with the word canonical among its words.
+CANONICAL = r"""(?is)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,9 +54,16 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return text, verdict
 
 
+def _decoded(href: Column) -> Column:
+    """An attribute's value with the entities that addresses have put back; ``&amp;`` goes last."""
+    for entity, sign in ENTITIES:
+        href = F.regexp_replace(href, f"(?i){entity}", sign)
+    return href
+
+
 def _target(url: Column, href: Column) -> Column:
     """``href`` as an absolute address, seen from ``url``."""
-    href = F.trim(href)
+    href = F.trim(_decoded(href))
     base = F.regexp_extract(url, r"^([^?#]*://[^/?#]*)", 1)
     folder = F.regexp_extract(url, r"^([^?#]*://[^?#]*/)", 1)
     return (
@@ -71,7 +82,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     found = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    canonical = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.when(F.col("tag").rlike(r"(?is)http-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     # a generator between the steps keeps the optimizer from copying one expression into the next
     found = found.select("url", F.explode(F.array(F.coalesce(canonical, refresh))).alias("href")).where("href <> ''")
@@ -139,6 +150,12 @@ def _sql_rule(what: str) -> str:
     ) + " ELSE NULL END"
 
 
+def _sql_decoded(x: str) -> str:
+    for entity, sign in ENTITIES:
+        x = f"regexp_replace({x}, '(?i){entity}', '{sign.replace(chr(39), chr(39) * 2)}', 'g')"
+    return x
+
+
 _SQL_SPLIT = rf"""translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
   regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail"""
 _SQL_NODE = "CASE WHEN host <> '' THEN regexp_replace(host, ':(80|443)$', '') || tail END AS node"
@@ -147,8 +164,9 @@ WITH RECURSIVE r AS (SELECT page_id, url, html, CASE WHEN url IS NULL OR strpos(
 s AS (SELECT page_id, url, html, {_SQL_SPLIT} FROM r),
 p AS (SELECT page_id, url, html, host, path, {_SQL_NODE}, {_sql_rule('rule')} AS rule, {_sql_rule('kind')} AS own FROM s),
 tags AS (SELECT url, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
-hrefs AS (SELECT url, node, trim(CASE WHEN regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-  WHEN regexp_matches(tag, '(?is)http-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END) AS href FROM tags),
+raws AS (SELECT url, node, CASE WHEN regexp_matches(tag, '{CANONICAL.replace("'", "''")}') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?is)http-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS raw FROM tags),
+hrefs AS (SELECT url, node, trim({_sql_decoded('raw')}) AS href FROM raws),
 targets AS (SELECT node AS a, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href
   WHEN starts_with(href, '/') THEN regexp_extract(url, '^([^?#]*://[^/?#]*)', 1) || href WHEN href = '' THEN NULL
   ELSE coalesce(nullif(regexp_extract(url, '^([^?#]*://[^?#]*/)', 1), ''), regexp_extract(url, '^([^?#]*://[^/?#]*)', 1) || '/') || href END AS target FROM hrefs),

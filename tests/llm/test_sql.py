@@ -35,7 +35,7 @@ def pages():
         (1, "http://bad.net/x", ""), (2, "https://ok.info/a?q=1#top", '<link rel="canonical" href="http://bad.net/x">'), (3, "http://ok.info/a?q=1", None), (4, "http://far.info/", '<META HTTP-EQUIV=refresh content="0; url=/z">'),
         (5, "https://far.info/z", "<link href='//ok.info/a?q=1' rel='canonical'>"), (6, None, "<link rel=canonical href=http://bad.net/x>"), (7, "no scheme", ""), (8, "http://Example.NET/en/1", ""), (9, "http://a.example.net/de", ""),
         (10, "http://www.example.com/de/", ""), (11, "http://www.example.com/de", ""), (12, "http://x.org/fr/", '<link rel="canonical" href="http://good.info/">'), (13, "http://good.info/", '<link rel="canonical" href="http://bad.net/x2">'),
-        (14, "http://bad.net/x2", ""), (15, "http://bad.net", ""), (16, "http://net/", ""), (17, "http://rel.info/a/b", '<link rel="canonical" href="c">'), (18, "http://rel.info:80/a/c", ""), (19, "http://sub.bad.net/y", '<link rel="canonical" href="http://rel.info/a/c">'), (1, "http://bad.net/x", ""), (20, "", ""),
+        (14, "http://bad.net/x2", ""), (15, "http://bad.net", ""), (16, "http://net/", ""), (17, "http://rel.info/a/b", '<link rel="canonical" href="c">'), (18, "http://rel.info:80/a/c", ""), (19, "http://sub.bad.net/y", '<link rel="canonical" href="http://rel.info/a/c">'), (21, "http://ent.info/?a=1&b=2", ""), (22, "http://bad.net/ent", '<link rel="alternate Canonical" href="http://ent.info/?a=1&amp;b=2">'), (23, "http://no.info/", '<link rel="canonical-ish" href="http://bad.net/x">'), (1, "http://bad.net/x", ""), (20, "", ""),
     ]
     return pa.table({"page_id": pa.array([x[0] for x in u], pa.int64()), "url": [x[1] for x in u], "html": pa.array([x[2] for x in u], pa.string()), "host": ["clash"] * len(u), "node": ["clash"] * len(u)})
 
@@ -65,6 +65,8 @@ def test_blocks_spread_to_aliases(spark, tmp_path):
     assert got[2].decided_by == "alias" and got[1].decided_by == "rule"
     # an explicit allow in the class comes first
     assert (got[12].verdict, got[13].verdict, got[14].verdict) == ("allow", "allow", "block")
+    # entities are put back, and canonical may be any word of rel
+    assert (got[21].verdict, got[21].class_id, got[23].verdict) == ("block", 21, "allow")
     assert got[17].verdict == "block" and got[6].verdict == "allow" and got[6].class_id is None
 
 
