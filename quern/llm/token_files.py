@@ -23,6 +23,8 @@ from quern.llm import tokens
 from quern.plans.shared import fresh_path, small_batches, written
 
 LENGTH, ROWS, END = 2048, 256, 2
+#: Bytes of text a file is made of, about.
+SHARD_BYTES = 128 << 20
 
 
 def _schema(length: int) -> pa.Schema:
@@ -103,7 +105,8 @@ class TokenFile:
 def encode_to_files(documents: DataFrame, path: str | None = None, end: int = END, length: int = LENGTH, to: str | None = None) -> DataFrame:
     """Encode whole texts and write their ids to files in ascending order of doc_id.
 
-    Returns the index, a written table with a row a document: ``shard, uri, doc_id,
+    There are as many files as shuffle partitions, and more where one would be made of
+    more than about ``SHARD_BYTES`` of text. Returns the index, a written table with a row a document: ``shard, uri, doc_id,
     local_start, n_tokens, start``; ``start`` counts the ids of all documents before it,
     in its own file and in those before. ``to`` is a folder all executors share.
 
@@ -115,7 +118,8 @@ def encode_to_files(documents: DataFrame, path: str | None = None, end: int = EN
     small_batches(spark)
     path, to = path or tokens.default_path(), to or fresh_path(spark, "token-files")
     d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     d = d.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
