@@ -4,6 +4,10 @@ Every line is good or bad. A line's potentials come from its own features and th
 the lines before and after it; a transition matrix ties neighbours. Forward-backward
 gives each line's chance of being good; their mean, weighted by length, is calibrated to
 the chance that the document is labelled good.
+
+In training every line carries its document's label, so neighbours always agree there;
+transitions are therefore bounded (``MOVE``), and lines are told by their own and their
+neighbours' features first.
 """
 
 from __future__ import annotations
@@ -13,16 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import words
 from quern.plans.shared import small_batches
 
 #: The classifier is fitted on at most so many labelled documents, those with the least
-#: hash of their id. Scoring reads every document whole.
-TRAIN_DOCS, STEPS, RATE, DECAY = 4_000, 150, 0.08, 1e-4
+#: hash of their id, as long as they have at most so many lines together. In training a
+#: chain is cut after so many lines. Scoring reads every document whole.
+TRAIN_DOCS, TRAIN_LINES, CHAIN = 4_000, 1_000_000, 512
+STEPS, RATE, DECAY = 150, 0.08, 1e-4
 KEEP = 0.3
+#: The bound on transitions between neighbours' labels.
+MOVE = 1.0
 _KIND = np.zeros(256, np.int64)
 _KIND[65:91] = 1
 _KIND[48:58] = 2
@@ -134,8 +142,9 @@ class _Adam:
 def fit_lines(x: np.ndarray, size: np.ndarray, doc: np.ndarray, good: np.ndarray, steps: int = STEPS) -> Model:
     """Fit to texts whose lines carry their text's label; texts of either label weigh alike in sum."""
     y = good[doc].astype(int)
-    chains = _Chains(doc)
-    first = np.append(True, doc[1:] != doc[:-1])
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc, "left")
+    first = place % CHAIN == 0
+    chains = _Chains(np.cumsum(first) - 1)
     pairs = np.zeros((2, 2))
     np.add.at(pairs, (y[:-1][~first[1:]], y[1:][~first[1:]]), 1)
     model, adam, n = Model(np.zeros(x.shape[1]), np.zeros((2, 2))), _Adam(RATE), max(1, len(x))
@@ -146,7 +155,7 @@ def fit_lines(x: np.ndarray, size: np.ndarray, doc: np.ndarray, good: np.ndarray
         step = adam.step(g)
         model.weights = model.weights + step[: x.shape[1]]
         # neighbours' labels always agree in training; a bound keeps one line from settling a text
-        model.move = np.clip(model.move + step[x.shape[1] :].reshape(2, 2), -1.0, 1.0)
+        model.move = np.clip(model.move + step[x.shape[1] :].reshape(2, 2), -MOVE, MOVE)
     w = size + 1
     z = _logit(np.bincount(doc, w * model.lines(x, doc)) / np.bincount(doc, w))
     a = _Adam(0.05)
@@ -161,6 +170,8 @@ def fit_lines(x: np.ndarray, size: np.ndarray, doc: np.ndarray, good: np.ndarray
 def fit(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on at most ``train_docs`` rows of ``labels(doc_id, quality)``, joined to ``documents(doc_id, text)``.
 
+    The documents have at most ``TRAIN_LINES`` lines together.
+
     Rows with a null id or quality are no labels. Line features are made on the
     executors; the driver gets numbers of the sample only. Without rows, or with one
     label only, every score is that label's share with a prior of a half.
@@ -178,7 +189,15 @@ def fit(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
                 for i, (lo, hi) in enumerate(zip(edge, [*edge[1:], len(doc)], strict=True)):
                     yield pa.record_batch([pa.array([int(quality[at + i])], pa.int32()), pa.array([x[lo:hi].astype("<f4").tobytes()]), pa.array([size[lo:hi].astype("<f4").tobytes()])], ["quality", "x", "size"])
 
-    rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("quality", "text")
+    rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    # the summary has a row a sampled document
+    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0))
+    fits = rows.select("doc_id", F.coalesce(lines, F.lit(1)).alias("n")).withColumn("upto", upto).agg(F.max("upto").alias("all"), F.max(F.when(F.col("upto") <= TRAIN_LINES, F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))).alias("last")).first()
+    if fits["all"] is not None and fits["all"] > TRAIN_LINES:
+        h, last = (fits["last"]["h"], fits["last"]["doc_id"]) if fits["last"] else (-(1 << 63), None)
+        rows = rows.where((F.xxhash64("doc_id") < h) | ((F.xxhash64("doc_id") == h) & (F.col("doc_id") <= F.lit(last))))
+    rows = rows.select("quality", "text")
     rows = rows.mapInArrow(run, "quality int, x binary, size binary").collect()
     rows.sort(key=lambda r: (r["quality"], bytes(r["x"])))  # a result that doesn't depend on the order of tasks
     good = np.array([r["quality"] > 0 for r in rows], float)
