@@ -2,6 +2,12 @@
 
 Each stage reads the whole of what the one before kept. All but the last return the
 columns of ``documents``; the last returns a row a packed piece.
+
+Stages work on rows. Where ids repeat or are null, rows get keys of their own that keep
+the order of ids (null first, then as the rows lie), so that of equal or near-equal rows
+one stays and no other text goes. Null texts count as empty: they are equal to each
+other, near to each other, have no words for the mixture, and are packed as the end
+alone. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,9 +19,31 @@ from quern.llm import exact_dedup, mixing, near_dedup, packing, quality
 from quern.plans.shared import bounded, written
 
 
-def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the rows whose id is in ``dropped(doc_id)``."""
-    return docs.join(bounded(written(dropped.select("doc_id").distinct(), name)), "doc_id", "left_anti").select(docs.columns)
+KEY = "_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row: its id, where ids are unique, else a text in the order of ids."""
+    repeated = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if repeated.isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id"))
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    ordered = F.col("doc_id")
+    if docs.schema["doc_id"].dataType.simpleString() != "string":
+        # the sign bit turned over, integers are in the order of their digits
+        ordered = F.lpad(F.hex(ordered.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    key = F.concat(F.when(F.col("doc_id").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), ordered)), F.lit(" "), F.lpad(F.hex("_row"), 16, "0"))
+    return rows.withColumn(KEY, key).drop("_row")
+
+
+def _for_operator(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(F.col(KEY).alias("doc_id"), *columns)
+
+
+def _without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """``rows`` without those whose key is in ``dropped(doc_id)``, and without the key."""
+    dropped = written(dropped.select(F.col("doc_id").alias(KEY)).distinct(), name)
+    return rows.join(bounded(dropped), KEY, "left_anti").drop(KEY)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,19 +53,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the least id."""
-    return _without(docs, exact_dedup.exact_duplicates(docs).where("not kept"), "pipeline-equal")
+    """Of equal texts the row with the least id."""
+    rows = _keyed(docs)
+    found = exact_dedup.exact_duplicates(_for_operator(rows, "text"))
+    return _without(rows, found.where("not kept"), "pipeline-equal").select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id."""
-    return _without(docs, near_dedup.near_classes(docs).where("doc_id <> class_id"), "pipeline-near")
+    """Of each class of near duplicates the row with the least id."""
+    rows = _keyed(docs)
+    found = near_dedup.near_classes(_for_operator(rows, "text"))
+    return _without(rows, found.where("doc_id <> class_id"), "pipeline-near").select(docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies"))
-    both = docs.join(bounded(written(copies, "pipeline-copies")), F.col("doc_id").eqNullSafe(F.col("of")))
+    """Each row as often as the mixture takes it."""
+    rows = _keyed(docs)
+    copies = mixing.mix(_for_operator(rows, "text", "source")).where("copies > 0").select(F.col("doc_id").alias(KEY), "copies")
+    both = rows.join(bounded(written(copies, "pipeline-copies")), KEY)
     return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(docs.columns)
 
 

@@ -90,7 +90,8 @@ def with_next(documents: DataFrame) -> DataFrame:
     own next. An empty table gives no rows. Other columns are ignored.
 
     The rows are dealt by ranges of doc_id; each range also gets the first row of the
-    range below it, so the text moves once and each task reads its rows in order.
+    range below it, so the text moves once and each task reads its rows in order. Ids
+    must be numbers; rows of one id, and those without, are in one range.
     """
     return _with_next(documents).drop("part")
 

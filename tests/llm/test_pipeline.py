@@ -3,6 +3,8 @@
 from collections import Counter
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from quern.llm import mixing, quality, tokens
@@ -43,8 +45,25 @@ def test_stages(spark):
     assert out.groupby("doc_id").length.sum().to_dict() == dict(sizes) and out.sequence_id.is_unique
 
 
+def test_rows_of_repeated_and_null_ids(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    body = " ".join(f"word{k}" for k in range(60))
+    near, other = body.replace("word7 ", "changed "), "quite another text of its own, with its own words"
+    rows = [(5, body, "en", "s", 1), (5, body, "en", "s", 1), (5, other, "en", "s", 1), (-2, body, "en", "s", 1), (None, other, "en", "s", 1), (None, other, "en", "s", 1), (9, near, "en", "s", 1), (None, None, "en", "s", 0), (8, "", "en", "s", 0)]
+    docs = written(spark.createDataFrame(rows, schema), "test")
+    exact = written(cp.exact_stage(spark, docs, SF), "test")
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, r.text or "") for r in exact.collect()), key=key) == sorted([(-2, body), (None, other), (9, near), (None, "")], key=key)
+    left = written(cp.near_stage(spark, exact, SF), "test")
+    assert sorted(((r.doc_id, r.text or "") for r in left.collect()), key=key) == sorted([(-2, body), (None, other), (None, "")], key=key)
+    twice = [(1, f"a b c {i}", "en", "s", 1) for i in range(4)] + [(i, "w " * 20, "en", "t", 1) for i in range(10, 90)]
+    docs = written(spark.createDataFrame(twice, schema), "test")
+    plain = written(docs.withColumn("doc_id", F.monotonically_increasing_id()), "test")
+    assert cp.mix_stage(spark, docs, SF).count() == pytest.approx(cp.mix_stage(spark, plain, SF).count(), abs=2)
+
+
 def test_odd_rows(spark):
-    rows = [(1, None, None, None, None), (None, "a b", "en", "s", 1), (2, "", "en", "s", 0), (3, "Good words here. And more of them, too.", "en", "s", 3), (3, "Good words here. And more of them, too.", "en", "s", 3)]
+    rows = [(1, None, None, None, None), (None, "a b", "en", "s", 1), (2, "", "en", "s", 0), (3, "Good words here. And more of them, too.", "en", "s", 3), (3, "Good words here. And more of them, too.", "en", "s", 3), (4, "x" * 300_000, "en", "s", 1), (5, "many words " * 30_000, "en", "s", 1)]
     docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
     for _, stage in cp.STAGES:
         stage(spark, docs, SF).collect()
