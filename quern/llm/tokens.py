@@ -37,55 +37,59 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+_PACK = [struct.Struct(f"<{n}H").pack for n in range(65)]
+
+
 class Encoder:
     """Ids as little-endian unsigned 16-bit integers (the vocabulary has under 65,536)."""
 
-    def __init__(self, path: str, words: int = 120_000, pieces: int = 120_000):
+    def __init__(self, path: str, words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         if self.whole.get_vocab_size() > 65_536:
             raise ValueError("the vocabulary needs wider ids")
-        self.model, self.letters = self.whole.model, _byte_letters()
-        # two generations each: when the younger is full it becomes the elder, and what is met again moves up
-        self.words, self.old_words = {}, {}
-        self.pieces, self.old_pieces = {}, {}
-        self.most = max(1, words // 2), max(1, pieces // 2)
+        self.tokenize, self.letters = self.whole.model.tokenize, _byte_letters()
+        # words and the pieces they are made of, in two generations: when the younger is full it becomes the elder, and what is met again moves up
+        self.words, self.old_words, self.most = {}, {}, max(1, words // 2)
 
     def _full(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def _keep(self, word: str, found: bytes) -> bytes:
+        if len(self.words) >= self.most:
+            self.words, self.old_words = {}, self.words
+        self.words[word] = found
+        return found
+
+    def _made(self, piece: str) -> bytes:
+        as_letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        ids = [t.id for t in self.tokenize(as_letters)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}H", *ids)
+
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        """The ids of a lower-case piece; as a word it has the same."""
+        found = self.words.get(piece)
         if found is None:
-            found = self.old_pieces.get(piece)
-            if found is None:
-                as_letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-                ids = [t.id for t in self.model.tokenize(as_letters)]
-                found = struct.pack(f"<{len(ids)}H", *ids)
-            if len(self.pieces) >= self.most[1]:
-                self.pieces, self.old_pieces = {}, self.pieces
-            self.pieces[piece] = found
+            found = self._keep(piece, self.old_words.get(piece) or self._made(piece))
         return found
 
     def _word(self, word: str) -> bytes:
+        """The ids of a word that the younger table doesn't have."""
         found = self.old_words.get(word)
         if found is None:
-            if "<|" in word or not _PLAIN.fullmatch(word):
+            if "<|" in word or not (word.isascii() and word.isprintable() or _PLAIN.fullmatch(word)):
                 found = self._full(word)
             else:
                 low = word.lower()
                 if low.isalpha():
-                    found = self._piece(low)
+                    found = self._made(low) if low == word else self._piece(low)
                 elif low[:-1].isalpha() and low[-1] in ".,!?;:":
                     found = self._piece(low[:-1]) + self._piece(low[-1])
                 else:
                     found = b"".join([self._piece(p) for p in _PIECE.findall(low)])
-        if len(self.words) >= self.most[0]:
-            self.words, self.old_words = {}, self.words
-        self.words[word] = found
-        return found
+        return self._keep(word, found)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as bytes, without special tokens."""

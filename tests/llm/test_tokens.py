@@ -27,6 +27,6 @@ def test_any_text(text):
 
 
 def test_small_tables_give_the_same():
-    e = tokens.Encoder(tokens.default_path(), words=3, pieces=2)
+    e = tokens.Encoder(tokens.default_path(), words=3)
     for text in ("one two three four five, six!", "one two seven"):
         assert np.frombuffer(e.encode(text), "<u2").tolist() == whole(text)
