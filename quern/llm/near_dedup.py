@@ -31,9 +31,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with a chance of (1 - 0.8^5)^24 = 7e-5.
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Documents (between an eighth of a group, the least and the most) and shingles a block
+#: Documents (between an eighth of a group, within bounds) and shingles a block
 #: of the comparison of what the leaders left open, on average.
-BLOCK, LEAST_BLOCK, BLOCK_SHINGLES = 512, 128, 1_000_000
+BLOCK, LEAST_BLOCK, BLOCK_SHINGLES = 256, 128, 500_000
 #: Candidates that are looked up by a broadcast table of ids; beyond it, by a shuffled join.
 BROADCAST_ROWS = 200_000
 _MULTIPLY = words.mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -169,6 +169,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     id_type = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.give_back()
         for batch in batches:
             good = []
             for r in zip(*[batch.column(c) for c in ("g", "w", "g2", "w2")], strict=True):
@@ -186,6 +187,7 @@ def _shared_shingles(sets: DataFrame) -> DataFrame:
     id_type = sets.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.give_back()
         for b in batches:
             for i, g in enumerate(b.column("g")):
                 x = np.frombuffer(g.as_buffer(), "<i8")
@@ -288,6 +290,7 @@ def _compared(left: DataFrame, threshold: float) -> DataFrame:
         g = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("g")]
         w = [np.frombuffer(x.as_buffer(), "<f4").astype(float) for x in t.column("w")]
         alike = alike_pairs(g, w, threshold)
+        words.give_back()
         label = np.arange(len(rep))
         while True:  # the least number that links reach
             new = np.minimum(label, np.where(alike, label[None, :], len(rep)).min(axis=1))

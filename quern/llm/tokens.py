@@ -43,7 +43,7 @@ _PACK = [struct.Struct(f"<{n}H").pack for n in range(65)]
 class Encoder:
     """Ids as little-endian unsigned 16-bit integers (the vocabulary has under 65,536)."""
 
-    def __init__(self, path: str, words: int = 600_000):
+    def __init__(self, path: str, words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
