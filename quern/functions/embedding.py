@@ -127,12 +127,13 @@ def embed_column(df: DataFrame, text: str, provider: EmbeddingProvider | None =
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of doubles, over the length of the shorter; 0 where a norm is 0."""
+    """Cosine of two arrays of doubles, both cut to the length of the shorter; 0 where a norm is 0."""
     add = lambda s, x: s + x
     zero = F.lit(0.0)
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), zero)), zero, add)
-    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), zero, add))
-    return F.when((norm(a) == 0) | (norm(b) == 0), zero).otherwise(dot / (norm(a) * norm(b)))
+    square = lambda x, y: F.when(y.isNull(), zero).otherwise(F.coalesce(x.cast("double") * x.cast("double"), zero))
+    norm = lambda v, w: F.sqrt(F.aggregate(F.zip_with(v, w, square), zero, add))
+    return F.when((norm(a, b) == 0) | (norm(b, a) == 0), zero).otherwise(dot / (norm(a, b) * norm(b, a)))
 
 
 def similarity_to(text: Column, query: str, provider: EmbeddingProvider | None = None) -> Column:

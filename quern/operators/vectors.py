@@ -46,13 +46,28 @@ def remove(old: DataFrame, gone: DataFrame, key: Sequence[str] = ("document_id",
     return old.join(gone.select(*key).distinct(), list(key), "left_anti").select(old.columns)
 
 
+def _cosines(x: Sequence[np.ndarray], y: Sequence[np.ndarray]) -> np.ndarray:
+    """The cosine of each vector of ``x`` with each of ``y``, of two lengths both cut to the shorter."""
+    out = np.zeros((len(x), len(y)))
+    sizes = [np.array([len(v) for v in vectors]) for vectors in (x, y)]
+    for p in np.unique(sizes[0]):
+        for q in np.unique(sizes[1]):
+            i, j = np.flatnonzero(sizes[0] == p), np.flatnonzero(sizes[1] == q)
+            cut = (np.stack([vectors[r][: min(p, q)] for r in rows]) for vectors, rows in ((x, i), (y, j)))
+            a, b = (np.divide(m, s, out=np.zeros_like(m), where=s > 0) for m, s in ((m, np.linalg.norm(m, axis=1, keepdims=True)) for m in cut))
+            out[np.ix_(i, j)] = a @ b.T
+    return out
+
+
 def pairs_above(vectors: DataFrame, threshold: float, key: Sequence[str] = KEY, block: int = BLOCK) -> DataFrame:
     """All pairs with a cosine of ``threshold`` or more, exactly.
 
     Vectors are dealt into blocks of bounded size; a task multiplies two blocks. Returns
     the key columns of both with the suffixes ``_a`` and ``_b`` (a before b) and
-    ``similarity``. A vector of zeros is like none.
+    ``similarity``. Of two lengths, both are cut to the shorter. A cosine with zeros is
+    0; a null vector is in no pair.
     """
+    vectors = vectors.where("vector is not null")
     n = vectors.count()
     blocks = max(1, math.ceil(n / block))
     v = vectors.select(*key, "vector").withColumn("block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int"))
@@ -71,9 +86,8 @@ def pairs_above(vectors: DataFrame, threshold: float, key: Sequence[str] = KEY,
         a, b = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
         if not len(a) or not len(b):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        x, y = (np.stack([np.asarray(r, float) for r in p["vector"]]) for p in (a, b))
-        x, y = (np.divide(m, s, out=np.zeros_like(m), where=s > 0) for m, s in ((m, np.linalg.norm(m, axis=1, keepdims=True)) for m in (x, y)))
-        sim = x @ y.T
+        x, y = ([np.asarray(r, float) for r in p["vector"]] for p in (a, b))
+        sim = _cosines(x, y)
         i, j = np.nonzero(sim >= threshold)
         first, second = a[names].iloc[i].reset_index(drop=True), b[names].iloc[j].reset_index(drop=True)
         less = np.array([p < q for p, q in zip(first.itertuples(index=False, name=None), second.itertuples(index=False, name=None), strict=True)], bool)

@@ -86,16 +86,22 @@ class Tables:
         """The log's last number, and the newest whole state: what is known of each table."""
         numbers = self._numbers()
         for n in numbers:
-            fs, p = self._fs(self._log_path(n))
-            stream = fs.open(p)
-            try:
-                return numbers[0], json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            except ValueError:
-                continue  # a writer broke off within the file
-            finally:
-                stream.close()
+            found = self._state_of(n)
+            if found is not None:
+                return numbers[0], found
         return (numbers[0] if numbers else 0), {}
 
+    def _state_of(self, number: int) -> dict[str, dict] | None:
+        """The state in a file of the log; None where its writer broke off within it."""
+        fs, p = self._fs(self._log_path(number))
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
     def _commit(self, number: int, state: dict[str, dict]) -> None:
         """Make a state the one that counts; raises if another step took the number."""
         fs, p = self._fs(self._log_path(number))
@@ -172,24 +178,19 @@ class Tables:
         return {"name": name, "columns": [(f.name, f.dataType.simpleString()) for f in df.schema], "rows": df.count(), "version": meta["version"], "bytes": size}
 
     def vacuum(self, keep: int = 2) -> int:
-        """Delete the log but for its newest ``keep`` states, and the data that none of those names; returns the folders deleted.
+        """Delete the log but for its newest ``keep`` whole states, and the data that none of those names; returns the folders deleted.
 
-        No step may be under way.
+        Files that a writer broke off in count as no state. No step may be under way.
         """
-        numbers, used = self._numbers(), set()
-        for n in numbers[:keep]:
-            fs, p = self._fs(self._log_path(n))
-            stream = fs.open(p)
-            try:
-                state = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            except ValueError:
-                state = {}
-            finally:
-                stream.close()
-            used |= {part["path"] for meta in state.values() for part in [*meta["parts"], *meta["dead"]]}
-        for n in numbers[keep:]:
-            fs, p = self._fs(self._log_path(n))
-            fs.delete(p, False)
+        numbers, used, whole = self._numbers(), set(), 0
+        for n in numbers:
+            state = self._state_of(n) if whole < keep else None
+            if state is not None:
+                whole += 1
+                used |= {part["path"] for meta in state.values() for part in [*meta["parts"], *meta["dead"]]}
+            elif n != numbers[0]:  # the newest number stays taken
+                fs, p = self._fs(self._log_path(n))
+                fs.delete(p, False)
         gone = 0
         for name in self.names():
             fs, p = self._fs(f"{self.root}/{name}")

@@ -3,12 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from quern.functions.embedding import HashingProvider
+from quern.functions.embedding import HashingProvider, cosine
 from quern.operators import lifecycle, relational, vectors
 from quern.operators.incremental import Engine
 from quern.plans.routing import ResultCache, hybrid_search, search_many
-from quern.sources.tables import Step, Tables, read_csv, read_texts
+from quern.sources.tables import LOG, Step, Tables, read_csv, read_texts
 from quern.streaming.ingest import apply_batch, start
 from tests.test_functions import QA, Q1, Q2
 
@@ -205,6 +206,26 @@ def test_vectors(spark):
         got = vectors.pairs_above(v, 0.5, block=block).collect()
         assert sorted((r.chunk_id_a, r.chunk_id_b, round(r.similarity, 6)) for r in got) == [(0, 2, 0.8), (1, 2, 0.6)]
     assert vectors.semantic_duplicates(v.limit(0), 0.5).count() == 0
+    odd = spark.createDataFrame([(2, 0, 1, "n", [0.6, 0.8, 5.0]), (2, 1, 1, "n", None), (2, 2, 1, "n", [0.0, 0.0])], schema)
+    every = v.unionByName(odd)
+    for block in (1, 2000):
+        got = {((r.document_id_a, r.chunk_id_a), (r.document_id_b, r.chunk_id_b)): round(r.similarity, 6) for r in vectors.pairs_above(every, 0.5, block=block).collect()}
+        assert got == {((1, 0), (1, 2)): 0.8, ((1, 1), (1, 2)): 0.6, ((1, 0), (2, 0)): 0.6, ((1, 1), (2, 0)): 0.8, ((1, 2), (2, 0)): 0.96}
+    both = odd.crossJoin(v.where("chunk_id = 1").select(F.col("vector").alias("other"))).select("chunk_id", cosine(F.col("vector"), F.col("other")).alias("c"))
+    assert {r.chunk_id: r.c and round(r.c, 6) for r in both.collect()} == {0: 0.8, 1: None, 2: 0.0}
+
+
+def test_vacuum_keeps_whole_states(spark, tmp_path):
+    t = Tables(spark, f"file://{tmp_path}/t")
+    for n in (1, 2, 3):
+        t.replace("x", spark.range(n))
+    last = t.state()[0]
+    for n in (last + 1, last + 2):  # two writers in a row broke off within the log
+        (tmp_path / "t" / LOG / f"{n:020d}.json").write_text('{"x": {"vers')
+    assert t.vacuum(keep=1) == 2 and t.open("x").count() == 3
+    t.replace("x", spark.range(4))
+    assert t.open("x").count() == 4 and t.state()[0] == last + 3
+    assert t.vacuum(keep=2) == 0 and t.vacuum(keep=1) == 1 and t.open("x").count() == 4
 
 
 def test_dedup_report(spark):
