@@ -52,6 +52,8 @@ SURE = 8.0
 END = np.uint64(0x5851F42D4C957F2D)
 _END_LONG = int(END.astype(np.int64))
 _GOLD, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC4CEB9FE1A85EC53)
+#: Steps that are worked on at once, so that what is between stays in a core's cache.
+BLOCK = 8192
 _ONES = np.ones(WIDTH, "f4")
 
 
@@ -85,6 +87,33 @@ def contexts(h: np.ndarray, code: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return words.mix(out)
 
 
+def _room() -> np.ndarray:
+    """Space for three values of a block of steps, used over and over: new memory costs more than the sums done in it."""
+    return np.empty((3, BLOCK, WIDTH), "f4")
+
+
+def _add_rows(to: np.ndarray, at: np.ndarray, what: np.ndarray, times: np.ndarray, last: np.ndarray, room: np.ndarray) -> None:
+    """``to[at] += what * times``, also where rows repeat; ``last`` has an integer a row of ``to``.
+
+    Most rows come once in a block. One of each is added by whole rows, which is several
+    times faster than ``np.add.at``; only what else falls on a row goes that way.
+    """
+    row, flat = f"V{to.itemsize * WIDTH}", to.view("c8").reshape(-1)
+    by_row, pairs, every = to.view(row), np.arange(WIDTH // 2), np.arange(BLOCK, dtype=last.dtype)
+    for a in range(0, len(at), BLOCK):
+        r = at[a : a + BLOCK]
+        step = np.multiply(what[a : a + BLOCK], times[a : a + BLOCK, None], out=room[0, : len(r)])
+        last[r] = every[: len(r)]
+        once = last[r] == every[: len(r)]
+        one, more = np.flatnonzero(once), np.flatnonzero(~once)
+        rows, sums, mine = r[one], room[1, : len(one)], room[2, : len(one)]
+        np.take(to, rows, axis=0, out=sums, mode="clip")
+        sums += np.take(step, one, axis=0, out=mine, mode="clip")
+        np.put(by_row, rows, sums.view(row))
+        # two weights are added as one complex number
+        np.add.at(flat, ((r[more] * (WIDTH // 2))[:, None] + pairs).ravel(), step[more].view("c8").ravel())
+
+
 @dataclasses.dataclass
 class Model:
     """What the driver holds: totals, weights of a bounded size, and at most ``HOT`` counts."""
@@ -104,12 +133,16 @@ class Model:
         self.weights, self.seen = np.zeros((1 << bits, WIDTH), "f4"), np.zeros(1 << bits, "f4")
 
     def codes(self, h: np.ndarray) -> np.ndarray:
-        """The codes of tokens' places."""
-        shared = FIRST[3] | (h >> np.uint64(48)).astype(np.int64)
-        if not len(self.own):
-            return shared
-        at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
-        return np.where(self.own[at] == h, self.own_code[at], shared)
+        """The codes of tokens' places; words with their own are looked up by the first bits of their hash."""
+        first = (h >> np.uint64(48)).astype(np.int64)
+        size = np.bincount((self.own >> np.uint64(48)).astype(np.int64), minlength=SHARED)
+        start, out, more = np.cumsum(size) - size, FIRST[3] | first, size[first]
+        for k in range(size.max()):
+            some = np.flatnonzero(more > k)
+            at = start[first[some]] + k
+            same = self.own[at] == h[some]
+            out[some[same]] = self.own_code[at[same]]
+        return out
 
     def steps(self, code: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, ...]:
         """The nodes on the tokens' ways: token, node, branch, and the row of weights for each context."""
@@ -125,24 +158,43 @@ class Model:
         rows = [(((c[token] ^ key) * _SPREAD) >> shift).astype(np.int64) for c in ctx]
         return token, node, branch, rows
 
-    def chances(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        """The softmax at each node, given the rows of weights."""
-        z, w = np.take(self.prior, node, axis=0, mode="clip"), np.empty((len(node), WIDTH), "f4")
+    def odds(self, node: np.ndarray, rows: list[np.ndarray], room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The softmax at each node before division, given the rows of weights, and what to divide it by; in ``room``."""
+        z, w = room[0, : len(node)], room[1, : len(node)]
+        np.take(self.prior, node, axis=0, out=z, mode="clip")
         for r in rows:
-            np.take(self.weights, r, axis=0, out=w, mode="clip")
-            z += w
-        np.exp(np.minimum(z, 60, out=z), out=z)
-        z /= (z @ _ONES)[:, None]
-        return z
+            z += np.take(self.weights, r, axis=0, out=w, mode="clip")
+        if len(z) and z.max() > 60:
+            np.minimum(z, 60, out=z)
+        np.exp(z, out=z)
+        return z, z @ _ONES
+
+    def chances(self, node: np.ndarray, rows: list[np.ndarray], room: np.ndarray | None = None) -> np.ndarray:
+        """The softmax at each node, given the rows of weights."""
+        out, room = np.empty((len(node), WIDTH), "f4"), _room() if room is None else room
+        for a in range(0, len(node), BLOCK):
+            b = slice(a, a + BLOCK)
+            z, total = self.odds(node[b], [r[b] for r in rows], room)
+            np.divide(z, total[:, None], out=out[b])
+        return out
+
+    def chance(self, node: np.ndarray, branch: np.ndarray, rows: list[np.ndarray], room: np.ndarray) -> np.ndarray:
+        """The chance of one branch at each node."""
+        out = np.empty(len(node), "f4")
+        for a in range(0, len(node), BLOCK):
+            b = slice(a, a + BLOCK)
+            z, total = self.odds(node[b], [r[b] for r in rows], room)
+            out[b] = z.reshape(-1)[np.arange(0, z.size, WIDTH) + branch[b]] / total
+        return out
 
     def gains(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Per token the log10 of its place's chance over the place's share of the counts."""
         code = self.codes(h)
-        ctx, out = contexts(h, code, counts), np.empty(len(h))
+        ctx, out, room = contexts(h, code, counts), np.empty(len(h)), _room()
         for a in range(0, len(h), BATCH):
             b = slice(a, a + BATCH)
             token, node, branch, rows = self.steps(code[b], ctx[:, b])
-            p = self.chances(node, rows)[np.arange(len(node)), branch]
+            p = self.chance(node, branch, rows, room)
             gain = np.log(np.maximum(p, 1e-30)) - self.prior[node, branch]
             out[b] = np.bincount(token, gain, minlength=len(code[b]))
         return out / np.log(10)
@@ -150,19 +202,19 @@ class Model:
     def train(self, h: np.ndarray, counts: np.ndarray, batch: int = BATCH, rate: float = RATE) -> None:
         """Gradient steps over the tokens, a batch at a time; a row's rate falls with its squared gradients."""
         code = self.codes(h)
-        ctx, flat, pairs = contexts(h, code, counts), self.weights.view("c8").ravel(), np.arange(WIDTH // 2)
+        ctx, room, last = contexts(h, code, counts), _room(), np.empty(len(self.weights), "i4")
+        # an array that was sent to a worker has a type object of its own; with two such objects np.add.at casts, forty times slower
+        seen = self.seen.view("f4")
         for a in range(0, len(h), batch):
             b = slice(a, a + batch)
             _, node, branch, rows = self.steps(code[b], ctx[:, b])
-            g = self.chances(node, rows)
+            g = self.chances(node, rows, room)
             np.negative(g, out=g)
-            g[np.arange(len(node)), branch] += 1
+            g.reshape(-1)[np.arange(0, g.size, WIDTH) + branch] += 1
             square = np.einsum("ij,ij->i", g, g)
             for r in rows:
-                np.add.at(self.seen, r, square)
-                step = g * (np.float32(rate) / np.sqrt(self.seen[r] + 1))[:, None]
-                # two weights are added as one complex number
-                np.add.at(flat, ((r * (WIDTH // 2))[:, None] + pairs).ravel(), step.view("c8").ravel())
+                np.add.at(seen, r, square)
+                _add_rows(self.weights, r, g, np.float32(rate) / np.sqrt(seen[r] + 1), last, room)
 
 
 def _training() -> Column:

@@ -140,6 +140,32 @@ def test_merge_in_steps_is_the_merge_at_once():
     assert np.abs(out[0].weights - start.weights).max() > 0.5
 
 
+def added(to, at, what, times):
+    lm._add_rows(to, at, what, times, np.empty(len(to), "i4"), lm._room())
+
+
+def test_rows_add_up_where_they_repeat(monkeypatch):
+    rng = np.random.default_rng(4)
+    what, times = rng.normal(size=(5000, lm.WIDTH)).astype("f4"), rng.random(5000).astype("f4")
+    for block in (8192, 700, 1):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        for at in (rng.integers(0, 4000, 5000), rng.zipf(1.5, 5000) % 4000, np.zeros(5000, np.int64), rng.integers(0, 4000, 0)):
+            got, want = np.ones((4000, lm.WIDTH), "f4"), np.ones((4000, lm.WIDTH))
+            added(got, at, what[: len(at)], times[: len(at)])
+            np.add.at(want, at, what[: len(at)].astype(float) * times[: len(at), None])
+            assert np.allclose(got, want, atol=1e-3)
+
+
+def test_words_with_equal_first_bits_have_their_codes():
+    rng = np.random.default_rng(6)
+    m = any_model()
+    few = rng.integers(0, 4, 60).astype(np.uint64) << np.uint64(48) | rng.integers(0, 50, 60).astype(np.uint64)
+    m.own, m.own_code = np.unique(np.append(few, lm.END)), rng.permutation(61)[: len(np.unique(np.append(few, lm.END)))]
+    place = dict(zip(m.own.tolist(), m.own_code.tolist()))
+    asked = np.concatenate([m.own, m.own + np.uint64(1), rng.integers(0, 2**63, 100).astype(np.uint64)])
+    assert m.codes(asked).tolist() == [place.get(x, 0xF0000 | x >> 48) for x in asked.tolist()]
+
+
 def test_word_places_and_hashes():
     import pyarrow as pa
 
