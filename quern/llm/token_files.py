@@ -25,6 +25,8 @@ from quern.plans.shared import fresh_path, small_batches, written
 LENGTH, ROWS, END = 2048, 256, 2
 #: Bytes of text a file is made of, about.
 SHARD_BYTES = 128 << 20
+#: Words and pieces whose ids a worker keeps: twice as many as elsewhere, as writing files leaves memory for them.
+WORDS = 800_000
 
 
 def _schema(length: int) -> pa.Schema:
@@ -125,7 +127,7 @@ def encode_to_files(documents: DataFrame, path: str | None = None, end: int = EN
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, enc = TaskContext.get().partitionId(), tokens.encoder(path)
+        shard, enc = TaskContext.get().partitionId(), tokens.encoder(path, WORDS)
         tail = np.array([end], "<u2").tobytes()
         uri, ids, sizes = f"{to}/shard-{shard:06d}.arrow", [], []
 

@@ -103,12 +103,14 @@ class Encoder:
             return b"".join([word(w) if (x := get(w)) is None else x for w in words])
 
 
-_ENCODERS: dict[str, Encoder] = arrow_words.kept.setdefault("tokens", {})
+_ENCODERS: dict[tuple[str, int], Encoder] = arrow_words.kept.setdefault("tokens", {})
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process, kept between tasks until another operator's task runs here."""
+def encoder(path: str, words: int = 400_000) -> Encoder:
+    """The encoder of this worker process, kept between tasks until another operator's task runs here or one of another size is asked for."""
     arrow_words.give_back("tokens")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, words
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(path, words)
+    return _ENCODERS[key]

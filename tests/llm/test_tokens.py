@@ -30,3 +30,10 @@ def test_small_tables_give_the_same():
     e = tokens.Encoder(tokens.default_path(), words=3)
     for text in ("one two three four five, six!", "one two seven"):
         assert np.frombuffer(e.encode(text), "<u2").tolist() == whole(text)
+
+
+def test_one_encoder_of_the_size_asked_for():
+    path = tokens.default_path()
+    large = tokens.encoder(path, 800_000)
+    assert large.most == 400_000 and tokens.encoder(path, 800_000) is large
+    assert tokens.encoder(path).most == 200_000 and len(tokens._ENCODERS) == 1
