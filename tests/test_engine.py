@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,23 @@ def test_vectors(spark):
     assert {r.chunk_id: r.c and round(r.c, 6) for r in both.collect()} == {0: 0.8, 1: None, 2: 0.0}
 
 
+def test_pairs_shuffle_each_vector_once(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(90, 6))
+    rows = [(f"d{i % 9}", i // 9, x[i].tolist()) for i in range(90)]
+    v = spark.createDataFrame([*rows, ("d0", 0, [1.0] * 6), (None, 1, [1.0] * 6)], "document_id string, chunk_id int, vector array<double>")  # a key given twice, and none
+    unit = np.array([z for *_, z in rows] + [[1.0] * 6])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    keys = [(d, c) for d, c, _ in rows] + [("d0", 0)]
+    want = sorted((*keys[i], *keys[j], round(float(unit[i] @ unit[j]), 6)) for i in range(91) for j in range(91) if keys[i] < keys[j] and unit[i] @ unit[j] >= 0.4)
+    for block in (4, 30, 2000):
+        pairs = vectors.pairs_above(v.repartition(3), 0.4, block=block)
+        got = pairs.select("document_id_a", "chunk_id_a", "document_id_b", "chunk_id_b", F.round("similarity", 6)).collect()
+        assert sorted(tuple(r) for r in got) == want
+        # copies of a vector for each block it meets are read, and not shuffled
+        assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vacuum_keeps_whole_states(spark, tmp_path):
     t = Tables(spark, f"file://{tmp_path}/t")
     for n in (1, 2, 3):
