@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.hashing import OFFSET, PRIME, fnv1a_bytes
+from quern.plans.shared import small_batches
 
 DIMENSION, MODEL = 128, "model-v1"
 WORD_WEIGHT, GRAM_WEIGHT = 2.0, 0.25
+#: Words whose places a worker keeps at most; texts, and bytes of texts, that are embedded at once.
+KNOWN_WORDS, SLICE_TEXTS, SLICE_BYTES = 65_536, 512, 256 << 10
 #: The built-in model's word table, for vectors equal to those it is measured against.
 RELATED = {
     "transfer": ["move", "ownership", "constructor"],
@@ -64,15 +67,18 @@ class HashingProvider(EmbeddingProvider):
         if dimension <= 0:
             raise ValueError("the dimension must be positive")
         self.model_id, self.dimension, self._known = model_id, dimension, {}
+        self._single: dict[tuple[int, float], tuple[tuple[int, float]]] = {}
 
-    def _word(self, word: str) -> list[tuple[int, float]]:
+    def _word(self, word: str) -> tuple[tuple[int, float], ...]:
         found = self._known.get(word)
         if found is None:
-            found = []
+            places = []
             for w in (word, *RELATED.get(stem(word), ())):
                 h = fnv1a_bytes(w.encode())
-                found.append((h % self.dimension, WORD_WEIGHT if h >> 63 else -WORD_WEIGHT))
-            if len(self._known) > 200_000:
+                places.append((h % self.dimension, WORD_WEIGHT if h >> 63 else -WORD_WEIGHT))
+            # words of one place share the entry
+            found = tuple(places) if len(places) > 1 else self._single.setdefault(places[0], (places[0],))
+            if len(self._known) >= KNOWN_WORDS:
                 self._known.clear()
             self._known[word] = found
         return found
@@ -109,17 +115,37 @@ class HashingProvider(EmbeddingProvider):
         return np.divide(out, norm, out=out, where=norm > 0)
 
 
+def slices(texts: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of at most ``SLICE_TEXTS`` texts and about ``SLICE_BYTES`` bytes; a longer text is alone."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t.isascii() else len(t.encode())
+        if i > at and (i - at == SLICE_TEXTS or size + n > SLICE_BYTES):
+            yield at, i
+            at, size = i, 0
+        size += n
+    if len(texts):
+        yield at, len(texts)
+
+
+def _scores(provider: EmbeddingProvider, texts: pd.Series, query: np.ndarray) -> np.ndarray:
+    """The cosine of each text with an embedded query."""
+    plain = [t or "" for t in texts]
+    return np.concatenate([np.zeros(0), *(provider.embed(plain[a:b]) @ query for a, b in slices(plain))])
+
+
 def embed_column(df: DataFrame, text: str, provider: EmbeddingProvider | None = None, to: str = "vector") -> DataFrame:
     """``df`` with the vectors of a text column; a null text is embedded as empty (zeros)."""
     provider = provider or HashingProvider()
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c != to]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
-                x = provider.embed([t or "" for t in part.column(text).to_pylist()])
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            for at, to_ in slices(texts):
+                part, x = b.slice(at, to_ - at), provider.embed(texts[at:to_])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.record_batch([*part.columns, lists], [*names, to])
 
@@ -143,10 +169,11 @@ def similarity_to(text: Column, query: str, provider: EmbeddingProvider | None =
     """
     provider = provider or HashingProvider()
     q = provider.embed([query])[0]
+    small_batches()
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([provider.embed([t or "" for t in texts.iloc[a : a + 512]]) @ q for a in range(0, len(texts), 512)]))
+        return pd.Series(_scores(provider, texts, q))
 
     return score.asNondeterministic()(text)
 
@@ -157,6 +184,7 @@ def register_sql(spark: SparkSession, provider: EmbeddingProvider | None = None)
     The constant is embedded once a worker.
     """
     provider = provider or HashingProvider()
+    small_batches(spark)
     seen: dict[str, np.ndarray] = {}
 
     def scores(texts: pd.Series, queries: pd.Series) -> np.ndarray:
@@ -166,9 +194,7 @@ def register_sql(spark: SparkSession, provider: EmbeddingProvider | None = None)
                 seen.clear()
                 seen[q] = provider.embed([q or ""])[0]
             at = np.flatnonzero((queries == q).to_numpy())
-            for a in range(0, len(at), 512):
-                part = at[a : a + 512]
-                out[part] = provider.embed([t or "" for t in texts.iloc[part]]) @ seen[q]
+            out[at] = _scores(provider, texts.iloc[at], seen[q])
         return out
 
     @F.pandas_udf("double")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.plans.shared import small_batches
+
 PRIME, OFFSET = 1_099_511_628_211, 14_695_981_039_346_656_037
 _WRAP = (1 << 64) - 1
 _FEW = 24
@@ -61,6 +63,7 @@ def _udf():
 
 def fnv1a(text: Column) -> Column:
     """The hash of a text's UTF-8 bytes; null for null."""
+    small_batches()
     return _udf()(text)
 
 

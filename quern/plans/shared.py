@@ -86,7 +86,8 @@ def discard(*tables: DataFrame) -> None:
             fs.delete(p, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by ``ARROW_BYTES``: long rows then fill no worker."""
-    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW_BYTES:
+def small_batches(spark: SparkSession | None = None) -> None:
+    """Bound the session's Arrow batches (the active one's if none is given) by ``ARROW_BYTES``: long rows then fill no worker."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark and spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW_BYTES:
         spark.conf.set(_BATCHES, str(ARROW_BYTES))

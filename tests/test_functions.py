@@ -90,3 +90,22 @@ def test_sql_functions(spark):
     assert ids(f"SELECT id FROM qa WHERE topic = 'memory' AND SIMILARITY(answer, '{Q1}') > 0.3 LIMIT 5") == [2]
     assert ids(f"SELECT id FROM qa WHERE VECTOR_SEARCH(answer, '{Q2}', 0.3) ORDER BY id") == [2, 3]
     assert ids(f"SELECT id FROM qa WHERE SIMILARITY(answer, '{QA[0][1]}') > 0.99") == [1]
+
+
+def test_workers_hold_bounded_texts(spark, monkeypatch):
+    texts = ["x" * 300_000, "é" * 10, *["word " * 2_000] * 60, *["a"] * 1_200, ""]
+    cut = list(embedding.slices(texts))
+    assert [a for a, _ in cut] == [0, *[b for _, b in cut[:-1]]] and cut[-1][1] == len(texts) and list(embedding.slices([])) == []
+    assert all(b - a <= embedding.SLICE_TEXTS and (b - a == 1 or sum(len(t.encode()) for t in texts[a:b]) <= embedding.SLICE_BYTES) for a, b in cut)
+
+    df = spark.createDataFrame([(t,) for t in texts[1:200]], "t string")
+    for use in (lambda: embedding.embed_column(df, "t"), lambda: hashing.fnv1a(F.col("t")), lambda: embedding.similarity_to(F.col("t"), "word")):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+        use()
+        assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= 4 << 20
+
+    words = [f"w{i} raii" for i in range(50)]
+    free = embedding.HashingProvider().embed(words)
+    monkeypatch.setattr(embedding, "KNOWN_WORDS", 7)
+    p = embedding.HashingProvider()
+    assert (p.embed(words) == free).all() and len(p._known) <= 7
