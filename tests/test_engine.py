@@ -233,6 +233,16 @@ def test_pairs_shuffle_each_vector_once(spark):
         assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_semantic_duplicates_move_only_pairs(spark):
+    r = np.random.default_rng(6)
+    v = spark.createDataFrame([(i, i % 2, r.normal(size=5).tolist()) for i in range(40)], "document_id bigint, chunk_id int, vector array<double>")
+    found = vectors.semantic_duplicates(v, 0.5)
+    got = [(-x.similarity, x.document_id_a, x.chunk_id_a, x.document_id_b, x.chunk_id_b) for x in found.collect()]
+    assert got == sorted(got) and {x[1:] for x in got} == {tuple(x)[:4] for x in vectors.pairs_above(v, 0.5).select("document_id_a", "chunk_id_a", "document_id_b", "chunk_id_b").collect()}
+    plan = vectors.semantic_duplicates(v, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 == plan.count("Exchange ")
+
+
 def test_vacuum_keeps_whole_states(spark, tmp_path):
     t = Tables(spark, f"file://{tmp_path}/t")
     for n in (1, 2, 3):
